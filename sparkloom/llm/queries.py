@@ -1,7 +1,10 @@
 """The queries of this package by name, and their SQL where SQL can express them."""
 
+from .ann import op6_nearest
+from .byte_bpe import op8_byte_bpe
+from .exact_topk import OP4_SQL, op4_exact_topk
 from .substring_dedup import op9_substring_dedup
 from .suffix_dedup import op5_suffix_dedup
 
-QUERIES = {f.__name__: f for f in (op5_suffix_dedup, op9_substring_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op4_exact_topk, op5_suffix_dedup, op6_nearest, op8_byte_bpe, op9_substring_dedup)}
+ORACLE_SQL = {"op4_exact_topk": OP4_SQL}
