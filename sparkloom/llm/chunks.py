@@ -29,21 +29,28 @@ def _squeeze(raw) -> bytes:
     return pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
 
 
-class Chunk:
-    """A chunk as the operators see it: ids, offsets and the concatenated bytes."""
+class Answered:
+    """A row with an id that shards reply to."""
 
     def __init__(self, row: dict):
-        self.id, self.doc_ids = row["chunk"], row["doc_ids"]
-        self.offsets = np.frombuffer(row["offsets"], np.int64)
-        raw = pa.Codec("zstd").decompress(row["data"], row["size"], asbytes=True) if row["size"] else b""
-        self.data = np.frombuffer(raw, np.uint8)
-        self._answers = row.get("answers") or ()
+        self.id, self._answers = row["chunk"], row.get("answers") or ()
 
     def answers(self, number: int = 1) -> dict[int, bytes]:
         """The replies of a round, by shard."""
         return {a["shard"]: a["data"] for a in self._answers if a["round"] == number}
 
 
+class Chunk(Answered):
+    """A chunk as the operators see it: ids, offsets and the concatenated bytes."""
+
+    def __init__(self, row: dict):
+        super().__init__(row)
+        self.doc_ids = row["doc_ids"]
+        self.offsets = np.frombuffer(row["offsets"], np.int64)
+        raw = pa.Codec("zstd").decompress(row["data"], row["size"], asbytes=True) if row["size"] else b""
+        self.data = np.frombuffer(raw, np.uint8)
+
+
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for k in range(batch.num_rows):
@@ -78,10 +85,11 @@ def chunked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 
 def answers(
     chunks: DataFrame,
-    ask: Callable[[Chunk, int], Iterator[tuple[int, bytes]]],
+    ask: Callable[[Answered, int], Iterator[tuple[int, bytes]]],
     answer: Callable[[list[bytes]], list[bytes]],
     shards: int,
     number: int = 1,
+    kind: type[Answered] = Chunk,
 ) -> DataFrame:
     """What each shard replied to `ask(chunk, shards)`, as a written table.
 
@@ -90,7 +98,7 @@ def answers(
 
     def asks(batches):
         for row in _rows(batches):
-            chunk = Chunk(row)
+            chunk = kind(row)
             out = list(ask(chunk, shards))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([s for s, _ in out], pa.int32()), pa.array([chunk.id] * len(out), pa.int64()), pa.array([d for _, d in out], pa.binary())],
@@ -116,11 +124,11 @@ def informed(chunks: DataFrame, *rounds: DataFrame) -> DataFrame:
     return chunks.join(told.groupBy("chunk").agg(F.collect_list(F.struct("round", "shard", "data")).alias("answers")), "chunk", "left")
 
 
-def mapped(chunks: DataFrame, out: Callable[[Chunk], pa.RecordBatch], schema: str) -> DataFrame:
+def mapped(chunks: DataFrame, out: Callable[[Answered], pa.RecordBatch], schema: str, kind: type[Answered] = Chunk) -> DataFrame:
     """One record batch for each chunk."""
 
     def run(batches):
         for row in _rows(batches):
-            yield out(Chunk(row))
+            yield out(kind(row))
 
     return chunks.mapInArrow(run, schema)

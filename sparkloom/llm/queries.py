@@ -3,11 +3,12 @@
 from .ann import op6_nearest
 from .byte_bpe import op8_byte_bpe
 from .exact_topk import OP4_SQL, op4_exact_topk
+from .jaccard_join import op3_jaccard_join
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .packing import op2_packing
 from .quality import op10_quality
 from .substring_dedup import op9_substring_dedup
 from .suffix_dedup import op5_suffix_dedup
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_packing, op4_exact_topk, op5_suffix_dedup, op6_nearest, op8_byte_bpe, op9_substring_dedup, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_packing, op3_jaccard_join, op4_exact_topk, op5_suffix_dedup, op6_nearest, op8_byte_bpe, op9_substring_dedup, op10_quality)}
 ORACLE_SQL = {"op1_line_dedup": OP1_SQL, "op4_exact_topk": OP4_SQL}
