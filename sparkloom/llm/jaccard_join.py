@@ -7,19 +7,22 @@ A document is the set of its `width`-word shingles. Two documents link when thei
 2. Candidates. Of any order of all shingles, a node's first n - ceil(threshold n) + L must hold L
    of any partner's. In the order of hashes, nodes whose first shingles hardly occur elsewhere
    are settled at once. Among the rest, shingles are counted, and in the order from rare to
-   frequent a node's first n - ceil(threshold n) + 1 shingles are its anchors: partners share
-   one. The nodes of an anchor are a region; regions with the same nodes are one.
-3. Metric join. Pivots of a region, one at first and more in each round, get their exact distance
-   to its nodes. A node within 2 eps of a pivot has all its partners within 3 eps of it: the
-   pivot's Voronoi region are the nodes within 3 eps, so those between 2 and 3 eps are replicated
-   into it and also stay among the remote nodes, all beyond 2 eps of every pivot. Nodes within
-   eps link to the pivot. Nodes known to be connected need no comparison, and a node connected
-   to the pivot stays in its region only if another component comes within eps of its distance
-   (the triangle inequality). Regions with nodes of one component are done; the others join
-   recursively. Every round drops its pivots, so the recursion ends; no pair is lost.
-
-No step gathers a region: pivots come from aggregations, distances from joins by key that Spark can
-split. Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z; a text of fewer than `width` words has
+   frequent a node's first n - ceil(threshold n) + 1 shingles are its anchors: partners share one.
+3. Regions. Nodes that anchors connect form a region; it goes to one task if it holds no more than
+   `room` shingles. Larger ones are taken apart: into the regions of single anchors (regions with
+   the same nodes are one), and what is still larger by pivots, in rounds of the whole cluster.
+4. Metric join, within a task and in those rounds alike. Pivots of a region get their exact
+   distances to its nodes; nodes within eps link to them. A node within 2 eps of its nearest pivot
+   is at home there and has all its partners within 3 eps of it; the pivot's Voronoi region holds
+   those at home, and as guests the boundary nodes of later pivots and the remote nodes that the
+   windows d <= 3 eps and d <= d(home) + 2 eps let in. Nodes beyond 2 eps of every pivot form the
+   remote region. Where this would replicate more than it divides (all nodes lie close to all
+   pivots), the region stays whole. Nodes already connected need no comparison: a region is done
+   when it holds one component, and nodes of its largest component stay only if, seen from every
+   pivot, another component comes within eps of their distance (the triangle inequality). Pivots
+   leave, as all their pairs are known, so the recursion ends, and no pair is lost.
+
+Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z; a text of fewer than `width` words has
 one shingle, the whole sequence; a text without words (or null) has none and links with nothing.
 Equal rows are equal sets; very long texts are large sets; rows without an id take part, and don't
 count as smallest id; an empty table gives an empty result; other columns are ignored. Shingles and
@@ -29,6 +32,7 @@ sets are compared by 64-bit hashes.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +47,9 @@ from .scratch import partitions, written
 WIDTH, PERCENT = 5, 80
 #: L of the first filter as a share of a node's shingles.
 _DEPTH = 0.1
+#: Shingles of a region that one task joins.
+ROOM = 2_000_000
+_SLACK = 1e-9
 _SETS = "chunk long, nodes binary, sizes binary, shingles binary"
 
 
@@ -212,62 +219,182 @@ def _anchored(candidates: DataFrame, percent: int, shards: int) -> DataFrame:
     return written(found.dropDuplicates(["node"]), "anchored")
 
 
-def _regions(anchored: DataFrame) -> DataFrame:
+def _signed(members: DataFrame) -> DataFrame:
+    """`members` without the regions that hold the same nodes as another, or a single one."""
+    sums = members.groupBy("region").agg(
+        F.count("*").alias("size"), F.sum(F.shiftright(F.xxhash64("node"), 20)).alias("one"), F.sum(F.shiftright(F.xxhash64("node", F.lit(1)), 20)).alias("two")
+    )
+    named = sums.filter("size > 1").groupBy("size", "one", "two").agg(F.min("region").alias("region"))
+    return members.join(named.select("region"), "region", "left_semi")
+
+
+def regions(anchored: DataFrame) -> DataFrame:
     """region, node: the nodes that share an anchor; one region for each set of nodes."""
-    every = anchored.select("node", F.explode("anchors").alias("region"))
-    sums = every.groupBy("region").agg(
-        F.count("*").alias("members"), F.sum(F.shiftright(F.xxhash64("node"), 20)).alias("one"), F.sum(F.shiftright(F.xxhash64("node", F.lit(1)), 20)).alias("two")
+    return _signed(anchored.select(F.explode("anchors").alias("region"), "node"))
+
+
+def distances(anchored: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """a, b, link, d of pairs of nodes: exact, by the sizes of the sets and of what they share."""
+    one = anchored.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("s_a"))
+    two = anchored.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("s_b"))
+    met = pairs.join(one, "a").join(two, "b").select("a", "b", (F.col("n_a") + F.col("n_b")).alias("both"), F.size(F.array_intersect("s_a", "s_b")).cast("long").alias("common"))
+    union = F.col("both") - F.col("common")
+    return met.select("a", "b", (F.col("common") * 100 >= union * percent).alias("link"), (1 - F.col("common") / union).alias("d"))
+
+
+class _Region:
+    """The metric join of a region in memory."""
+
+    def __init__(self, sets: list[np.ndarray], percent: int):
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        self.percent, self.eps = percent, 1 - percent / 100 + _SLACK
+        _, token = np.unique(np.concatenate(sets), return_inverse=True)
+        self.tokens = np.split(token, np.cumsum(self.sizes)[:-1])
+        order = np.argsort(token, kind="stable")
+        self.holders = np.repeat(np.arange(len(sets)), self.sizes)[order]
+        self.at = np.concatenate([[0], np.cumsum(np.bincount(token))])
+        self.label = np.arange(len(sets))
+
+    def distances(self, pivot: int) -> tuple[np.ndarray, np.ndarray]:
+        """To all nodes; and which of them link."""
+        starts, sizes = self.at[self.tokens[pivot]], np.diff(self.at)[self.tokens[pivot]]
+        places = np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+        common = np.bincount(self.holders[places], minlength=len(self.sizes))
+        union = self.sizes + self.sizes[pivot] - common
+        return 1 - common / union, common * 100 >= union * self.percent
+
+    def joined(self, pivots: int = 8) -> np.ndarray:
+        """The label of each node: equal for connected nodes."""
+        stack = [np.arange(len(self.sizes))]
+        while stack:
+            rows = stack.pop()
+            names, which, n = np.unique(self.label[rows], return_inverse=True, return_counts=True)
+            if len(names) < 2:
+                continue
+            outside = rows[which != n.argmax()]
+            chosen = outside[:pivots]
+            d = np.empty((len(chosen), len(rows)))
+            for i, p in enumerate(chosen):
+                every, links = self.distances(p)
+                d[i] = every[rows]
+                mine = rows[links[rows]]
+                if len(mine) > 1:
+                    met = np.unique(self.label[mine])
+                    if len(met) > 1:
+                        self.label[np.isin(self.label, met)] = met[0]
+            stay = ~np.isin(rows, chosen)
+            rows, d = rows[stay], d[:, stay]
+            if len(rows):
+                stack += [self._within(rows[part], d[:, part]) for part in self._parts(d)]
+        return self.label
+
+    def _parts(self, d: np.ndarray) -> list[np.ndarray]:
+        home, least = d.argmin(axis=0), d.min(axis=0)
+        remote = least > 2 * self.eps
+        parts = [np.flatnonzero(remote)] if remote.any() else []
+        for p in range(len(d)):
+            guest = (d[p] <= 3 * self.eps) & (remote | ((d[p] <= least + 2 * self.eps) & (home > p)))
+            parts.append(np.flatnonzero((~remote & (home == p)) | guest))
+        if sum(map(len, parts)) > 1.5 * d.shape[1]:
+            return [np.arange(d.shape[1])]
+        return [part for part in parts if len(part) > 1]
+
+    def _within(self, rows: np.ndarray, d: np.ndarray) -> np.ndarray:
+        """`rows` without those of the largest component that no other component can reach."""
+        names, which, n = np.unique(self.label[rows], return_inverse=True, return_counts=True)
+        other = which != n.argmax()
+        if not other.any():
+            return rows[:0]
+        low, high = d[:, other].min(axis=1), d[:, other].max(axis=1)
+        return rows[other | ((d + self.eps >= low[:, None]) & (d - self.eps <= high[:, None])).all(axis=0)]
+
+
+def _joined_in_tasks(anchored: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """a, b: links that connect what is connected within each region (region, node)."""
+
+    def run(table):
+        nodes = table.column("node").to_numpy()
+        sets = [x.values.to_numpy() for x in table.column("shingles").combine_chunks()]
+        label = nodes[_Region(sets, percent).joined()]
+        far = label != nodes
+        return pa.table({"a": nodes[far], "b": label[far]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    return members.join(anchored.select("node", "shingles"), "node").groupBy("region").applyInArrow(run, "a long, b long")
+
+
+def metric_links(anchored: DataFrame, percent: int, room: int = ROOM) -> DataFrame:
+    """node, label: the components of all links among the anchored nodes."""
+    spread = anchored.select("node", "n", F.explode("anchors").alias("anchor"))
+    least = spread.groupBy("anchor").agg(F.min("node").alias("least"))
+    touching = spread.join(least, "anchor").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+    nodes = anchored.select("node", "n").join(components(touching), "node", "left").withColumn("region", F.coalesce("label", "node"))
+    large = nodes.groupBy("region").agg(F.sum("n").alias("shingles")).filter(F.col("shingles") > room).select("region")
+    small = [written(nodes.join(large, "region", "left_anti").select("region", "node"), "regions")]
+    apart = anchored.join(nodes.join(large, "region", "left_semi").select("node"), "node", "left_semi")
+    members = written(regions(apart).select("region", "node", F.lit(True).alias("may_lead")), "members")
+    links, labels, wanted, first = [], None, 4, None
+    while True:
+        sized = members.join(anchored.select("node", "n"), "node")
+        large = sized.groupBy("region").agg(F.sum("n").alias("shingles")).filter(F.col("shingles") > room).select("region")
+        small.append(members.join(large, "region", "left_anti").select("region", "node"))
+        members = written(members.join(large, "region", "left_semi"), "members")
+        n = members.count()
+        if not n:
+            break
+        first = first or n
+        wanted = max(1, min(wanted, 4 * first // n))
+        at, new, labels = _round(anchored, members, labels, percent, wanted)
+        links.append(new)
+        members = written(_signed(_divided(at, labels, 1 - percent / 100 + _SLACK)), "members")
+        wanted *= 2
+    links.append(written(_joined_in_tasks(anchored, reduce(DataFrame.union, small), percent), "links"))
+    return components(reduce(DataFrame.union, links))
+
+
+def _round(anchored, members, labels, percent: int, wanted: int):
+    """Distances of the members of large regions to `wanted` pivots of each, the links among them,
+    and the components so far."""
+    # pivots: the smallest of each class of hashes, from outside the region's largest component
+    draw = F.xxhash64("node", F.lit(wanted))
+    chosen = members.filter("may_lead").groupBy("region", F.pmod(draw, F.lit(wanted)).alias("class")).agg(F.min(F.struct(draw.alias("draw"), "node")).alias("p"))
+    met = written(members.select("region", "node").join(chosen.select("region", F.col("p.node").alias("pivot")), "region"), "met")
+    pairs = met.filter("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    known = written(distances(anchored, pairs, percent), "distances")
+    links = known.filter("link").select("a", "b")
+    labels = components(links if labels is None else links.union(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
+    at = met.withColumn("a", F.least("node", "pivot")).withColumn("b", F.greatest("node", "pivot")).join(known.select("a", "b", "d"), ["a", "b"], "left")
+    return written(at.select("region", "node", "pivot", F.coalesce("d", F.lit(0.0)).alias("d")), "placed"), links, labels
+
+
+def _divided(at: DataFrame, labels: DataFrame, eps: float) -> DataFrame:
+    """region, node, may_lead of the next round, from distances to the pivots of this one."""
+    home = at.groupBy("region", "node").agg(F.min(F.struct("d", "pivot")).alias("home"))
+    home = home.select("region", "node", F.col("home.d").alias("home_d"), F.col("home.pivot").alias("home"))
+    rest = at.join(home, ["region", "node"]).filter("home_d > 0")  # pivots leave; no other node is at distance 0
+    remote = F.col("home_d") > 2 * eps
+    inside = ~remote & (F.col("home") == F.col("pivot"))
+    guest = (F.col("d") <= 3 * eps) & (remote | ((F.col("d") <= F.col("home_d") + 2 * eps) & (F.col("home") > F.col("pivot"))))
+    rest = rest.withColumn("enters", inside | guest)
+    size = rest.groupBy("region").agg(
+        F.sum(F.col("enters").cast("long")).alias("copies"), F.count_if(remote & (F.col("home") == F.col("pivot"))).alias("remote"), F.count_if(F.col("home") == F.col("pivot")).alias("whole")
+    )
+    split = size.select("region", (F.col("copies") + F.col("remote") <= 1.5 * F.col("whole")).alias("split"))
+    rest = rest.join(split, "region")
+    place = F.when(~F.col("split"), F.array(F.col("region"))).otherwise(
+        F.array_compact(F.array(F.when(F.col("enters"), F.xxhash64("region", "pivot")), F.when(remote, F.xxhash64("region", F.lit(-1)))))
     )
-    named = sums.filter("members > 1").groupBy("members", "one", "two").agg(F.min("region").alias("region"))
-    return every.join(named.select("region"), "region", "left_semi")
-
-
-def metric_links(anchored: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """node, label: components of the links within regions, by the recursive pivot join."""
-    eps = 1 - percent / 100
-    slack = 1e-9
-    sets = anchored.select("node", "n", "shingles")
-    members = written(members.join(anchored.select("node", "n"), "node").select("region", "node", "n", F.lit(False).alias("inside")), "members")
-    links, labels, pivots = None, None, 1
-    while members.limit(1).count():
-        # pivots: of each class of hashes the smallest, from nodes outside the last pivot's component
-        draw = F.xxhash64("node", F.lit(pivots))
-        chosen = members.filter("not inside").groupBy("region", F.pmod(draw, F.lit(pivots)).alias("class")).agg(F.min(F.struct(draw.alias("draw"), "node", "n")).alias("p"))
-        chosen = chosen.select("region", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"))
-        met = written(members.join(chosen, "region").select("region", "node", "n", "pivot", "pivot_n"), "met")
-        pairs = met.filter((F.col("node") != F.col("pivot")) & (F.least("n", "pivot_n") >= (1 - 3 * eps - slack) * F.greatest("n", "pivot_n")))
-        pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        one = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("s_a"))
-        two = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("s_b"))
-        common = F.size(F.array_intersect("s_a", "s_b")).cast("long")
-        known = pairs.join(one, "a").join(two, "b").select("a", "b", common.alias("common"), (F.col("n_a") + F.col("n_b") - common).alias("all"))
-        known = written(known.select("a", "b", (F.col("common") * 100 >= F.col("all") * percent).alias("link"), (1 - F.col("common") / F.col("all")).alias("d")), "distances")
-        new = known.filter("link").select("a", "b")
-        links = written(new if links is None else links.union(new).distinct(), "links")
-        labels = components(links)
-        at = met.withColumn("a", F.least("node", "pivot")).withColumn("b", F.greatest("node", "pivot")).join(known, ["a", "b"], "left")
-        own = labels.withColumnRenamed("label", "node_label")
-        theirs = labels.select(F.col("node").alias("pivot"), F.col("label").alias("pivot_label"))
-        at = at.join(own, "node", "left").join(theirs, "pivot", "left")
-        at = written(at.select(
-            "region", "node", "n", "pivot", F.when(F.col("node") == F.col("pivot"), 0.0).otherwise(F.coalesce("d", F.lit(1.0))).alias("d"),
-            F.coalesce("node_label", "node").alias("label"), (F.coalesce("node_label", "node") == F.coalesce("pivot_label", "pivot")).alias("joined"),
-        ), "placed")
-        # Voronoi regions of pivots
-        near = at.filter((F.col("node") != F.col("pivot")) & (F.col("d") <= 3 * eps + slack)).withColumn("region", F.xxhash64("region", "pivot"))
-        edge = near.filter("not joined").groupBy("region").agg(F.min("d").alias("least"))
-        near = near.join(edge, "region").filter(~F.col("joined") | (F.col("d") + (eps + slack) >= F.col("least"))).select("region", "node", "n", F.col("joined").alias("inside"), "label")
-        # remote nodes
-        far = at.groupBy("region", "node", "n", "label").agg(F.min("d").alias("d")).filter(F.col("d") > 2 * eps - slack)
-        far = far.select(F.xxhash64("region", F.lit(-1)).alias("region"), "node", "n", F.lit(False).alias("inside"), "label")
-        left = written(near.union(far), "left")
-        open_ = left.groupBy("region").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("region")
-        members = written(left.join(open_, "region", "left_semi").select("region", "node", "n", "inside"), "members")
-        pivots *= 2
-    return labels
-
-
-def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    # one row for each region, node and pivot that speaks about it
+    rest = rest.select(F.explode(place).alias("region"), "node", "pivot", "d")
+    rest = rest.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    counts = rest.groupBy("region", "label").agg(F.count("*").alias("n")).groupBy("region").agg(F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("labels"))
+    rest = rest.join(counts.filter("labels > 1").select("region", F.col("most.label").alias("main")), "region").withColumn("other", F.col("label") != F.col("main"))
+    window = rest.filter("other").groupBy("region", "pivot").agg(F.min("d").alias("low"), F.max("d").alias("high"))
+    rest = rest.join(window, ["region", "pivot"], "left")
+    reach = F.col("other") | ((F.col("d") + eps >= F.col("low")) & (F.col("d") - eps <= F.col("high")))
+    return rest.groupBy("region", "node").agg(F.bool_and(F.coalesce(reach, F.lit(False))).alias("stays"), F.bool_or("other").alias("may_lead")).filter("stays").select("region", "node", "may_lead")
+
+
+def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, room: int = ROOM, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach) of every row."""
     if not 67 <= percent <= 100:
         raise ValueError("percent lies between 67 and 100, so that three distances stay under 1")
@@ -280,16 +407,11 @@ def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, doc_id:
 
     rows = written(mapped(chunks, described, "doc_id long, n_shingles long, node long"), "sets")
     anchored = _anchored(_candidates(chunks, width, percent, shards), percent, shards)
-    labels = metric_links(anchored, _regions(anchored), percent)
+    labels = metric_links(anchored, percent, room)
     named = rows.filter("n_shingles > 0")
-    least = named.groupBy("node").agg(F.min("doc_id").alias("first"))
-    if labels is not None:
-        least = least.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        groups = least.groupBy("label").agg(F.min("first").alias("component_id"))
-        least = least.join(groups, "label").select("node", "component_id")
-    else:
-        least = least.withColumnRenamed("first", "component_id")
-    least = written(least, "components").withColumnRenamed("node", "key")
+    least = named.groupBy("node").agg(F.min("doc_id").alias("first")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    groups = least.groupBy("label").agg(F.min("first").alias("component_id"))
+    least = written(least.join(groups, "label").select("node", "component_id"), "components").withColumnRenamed("node", "key")
     match = (F.col("node") == F.col("key")) & (F.col("n_shingles") > 0)
     return rows.join(least, match, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
