@@ -49,6 +49,8 @@ WIDTH, PERCENT = 5, 80
 _DEPTH = 0.1
 #: Shingles of a region that one task joins.
 ROOM = 2_000_000
+#: Pivots of a region in a round of the whole cluster, at most.
+PIVOTS = 64
 _SLACK = 1e-9
 _SETS = "chunk long, nodes binary, sizes binary, shingles binary"
 
@@ -332,7 +334,7 @@ def metric_links(anchored: DataFrame, percent: int, room: int = ROOM) -> DataFra
     small = [written(nodes.join(large, "region", "left_anti").select("region", "node"), "regions")]
     apart = anchored.join(nodes.join(large, "region", "left_semi").select("node"), "node", "left_semi")
     members = written(regions(apart).select("region", "node", F.lit(True).alias("may_lead")), "members")
-    links, labels, wanted, first = [], None, 4, None
+    links, labels, wanted = [], None, 4
     while True:
         sized = members.join(anchored.select("node", "n"), "node")
         large = sized.groupBy("region").agg(F.sum("n").alias("shingles")).filter(F.col("shingles") > room).select("region")
@@ -341,12 +343,10 @@ def metric_links(anchored: DataFrame, percent: int, room: int = ROOM) -> DataFra
         n = members.count()
         if not n:
             break
-        first = first or n
-        wanted = max(1, min(wanted, 4 * first // n))
         at, new, labels = _round(anchored, members, labels, percent, wanted)
         links.append(new)
         members = written(_signed(_divided(at, labels, 1 - percent / 100 + _SLACK)), "members")
-        wanted *= 2
+        wanted = min(2 * wanted, PIVOTS)
     links.append(written(_joined_in_tasks(anchored, reduce(DataFrame.union, small), percent), "links"))
     return components(reduce(DataFrame.union, links))
 
@@ -422,6 +422,10 @@ def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:
 
 def one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage: of each component of linked documents the one with the smallest id, with all its
-    columns; a document without words stays."""
+    columns. Documents without words stay, and so do rows without an id, which nothing can name.
+    A repeated row (equal id and text) stays once."""
+    key = ["doc_id", F.xxhash64("text").alias("digest")]
+    if docs.filter("doc_id IS NOT NULL").select(*key).groupBy("doc_id", "digest").count().filter("count > 1").limit(1).count():
+        docs = docs.filter("doc_id IS NULL").union(docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]))
     kept = linked(docs).filter("component_id = doc_id").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi") if docs.columns else docs
+    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)

@@ -18,6 +18,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .arrays import BYTE_CODE, owners
 from .chunks import Chunk, answers, chunked, informed, mapped
@@ -147,6 +148,22 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, doc_id
     return removed_bytes(docs, out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", length, gram, doc_id, text)
 
 
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """`docs` with every repeated string cut from its texts. Of a character cut in two, nothing
+    stays. Rows are matched by id and digest of the text; rows without a cut stay untouched."""
+
+    def out(chunk, gone):
+        cut, _ = _runs(chunk, gone)
+        kept, rows = kept_bytes(chunk, gone), np.flatnonzero(cut).tolist()
+        digests = [hashlib.md5(chunk.data[chunk.offsets[i] : chunk.offsets[i + 1]]).hexdigest() for i in rows]
+        texts = [kept[i].decode(errors="ignore") for i in rows]
+        return pa.RecordBatch.from_arrays([pa.array([chunk.doc_ids[i] for i in rows], pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())], ["_id", "_digest", "_text"])
+
+    changed = removed_bytes(docs, out, "_id long, _digest string, _text string", length, gram).dropDuplicates(["_id", "_digest"])
+    match = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.md5(F.col("text").cast("binary")) == F.col("_digest"))
+    return docs.join(changed, match, "left").select(*(F.coalesce("_text", "text").alias("text") if c == "text" else F.col(c) for c in docs.columns))
+
+
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     def out(chunk, gone):
         cut, spans = _runs(chunk, gone)
