@@ -79,7 +79,7 @@ def is_test(project: Column, file_name: Column, relative: Column) -> Column:
     last = F.element_at(F.split(project, r"\."), -1)
     folders = F.transform(F.split(relative, "/"), F.lower)
     below = F.exists(F.slice(folders, 1, F.greatest(F.size(folders) - 1, F.lit(0))), lambda p: p.isin("test", "tests"))
-    return last.endswith("Tests") | (last == "Test") | file_name.endswith("Tests.cs") | below
+    return last.endswith("Tests") | (last == "Test") | F.lower(file_name).endswith("tests.cs") | below
 
 
 def age(seconds: Column) -> Column:
