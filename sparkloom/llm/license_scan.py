@@ -7,7 +7,7 @@ under `least` for every family is unknown. A prediction counts as confirmed when
 n-grams are contained in the family's templates to `similar` or more.
 
 A paragraph without a cue has no feature, hence the score of the bias alone, which is unknown; so
-the scan looks for cues first and loses nothing. The model is trained on the driver from the
+the scan looks for the cues' stems first and loses nothing. The model is trained on the driver from the
 templates below and negatives made of their words; weights are a table of bounded size (n-grams of
 the templates), which is broadcast.
 
@@ -22,7 +22,7 @@ from __future__ import annotations
 import math
 import random
 import re
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -84,12 +84,14 @@ _PROSE = [
     "The apache helicopter landed on the field.", "A gnu and a zebra crossed the common.", "The domain of the function is the set of reals.", "The House of Commons met again.",
     "Copyright is a matter for the courts.", "Please cc the editor.", "The fishing license costs ten dollars.", "All animals have rights.", "Modern redistribution of income is a subject of the book.",
 ]
-_CUES = r"\b(?:licen[sc]|copyright|rights\b|warrant|redistribut|apache\b|gnu\b|mit\b|bsd\b|mozilla\b|commons\b|cc0?\b|domain\b)"
+_CUES = r"\b(?:licen[sc]|copyright|rights\b|warrant|redistribut|apache\b|gnu\b|mozilla\b|commons\b|cc by\b|cc0\b|domain\b)"
+#: Every cue holds one of these, in whatever spacing; a plain search for them is far cheaper than the pattern.
+_STEMS = ["licen", "copyright", "rights", "warrant", "redistribut", "apache", "gnu", "mozilla", "commons", "cc", "domain"]
 _SPLIT = r"[^a-z0-9.]+"
 
 
 def grams(text: str) -> set[str]:
-    """The features of a paragraph; the same as `_grams` of a column."""
+    """The features of a paragraph; the same as `_grams` of a column in lower case."""
     words = [w.strip(".") for w in re.split(_SPLIT, text.lower())]
     words = [w for w in words if w]
     every = {" ".join(words[i : i + n]) for n in range(1, SIZE + 1) for i in range(len(words) - n + 1)}
@@ -144,12 +146,16 @@ def trained(epochs: int = 40, seed: int = 11) -> tuple[list[str], dict[str, list
 
 
 def _grams(paragraph):
-    words = F.filter(F.transform(F.split(F.lower(paragraph), _SPLIT), lambda w: F.btrim(w, F.lit("."))), lambda w: w != "")
+    words = F.filter(F.transform(F.split(paragraph, _SPLIT), lambda w: F.btrim(w, F.lit("."))), lambda w: w != "")
+
+    def runs(bound, n):
+        starts = F.sequence(F.lit(1), F.greatest(F.size(bound) - n + 1, F.lit(1)))
+        every = F.transform(starts, lambda i: F.array_join(F.slice(bound, i, n), " "))
+        return F.when(F.size(bound) >= n, every).otherwise(F.array().cast("array<string>"))
 
     def of(bound):
-        runs = [F.transform(F.sequence(F.lit(1), F.greatest(F.size(bound) - n + 1, F.lit(1))), lambda i, n=n: F.array_join(F.slice(bound, i, n), " ")) for n in range(1, SIZE + 1)]
-        long_enough = [F.when(F.size(bound) >= n, run).otherwise(F.array().cast("array<string>")) for n, run in enumerate(runs, 1)]
-        return F.filter(F.array_distinct(F.concat(*long_enough)), lambda g: F.rlike(g, F.lit(_CUES)))
+        every = F.concat(*(runs(bound, n) for n in range(1, SIZE + 1)))
+        return F.filter(F.array_distinct(every), lambda g: F.rlike(g, F.lit(_CUES)))
 
     return F.element_at(F.transform(F.array(words), of), 1)
 
@@ -160,10 +166,10 @@ def license_scan(docs: DataFrame, least: float = LEAST, similar: float = SIMILAR
     spark = docs.sparkSession
     classes, weights, bias = trained()
     own = F.col(f"`{text}`").cast("string")
-    cue = f"(?i){_CUES}"
-    hit = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), own.alias("text")).filter(F.rlike("text", F.lit(cue)))
-    lines = hit.select("doc_id", F.xxhash64("text").alias("digest"), F.posexplode(F.split("text", "\n", -1)).alias("paragraph", "line")).filter(F.rlike("line", F.lit(cue)))
-    found = lines.select("doc_id", "digest", (F.col("paragraph") + 1).alias("paragraph"), _grams(F.col("line")).alias("grams")).distinct()
+    some = lambda c: reduce(lambda x, y: x | y, (c.contains(s) for s in _STEMS))
+    hit = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), own.alias("text"), F.lower(own).alias("low")).filter(some(F.col("low")))
+    lines = hit.select("doc_id", F.xxhash64("text").alias("digest"), F.posexplode(F.split("low", "\n", -1)).alias("paragraph", "line")).filter(some(F.col("line")))
+    found = lines.select("doc_id", "digest", (F.col("paragraph") + 1).alias("paragraph"), _grams(F.col("line")).alias("grams")).filter(F.size("grams") > 0).distinct()
     contained = {(g, f) for f, texts in TEMPLATES.items() for t in texts for g in grams(t)}
     zero = [0.0] * len(classes)
     rows = [(g, k, w, (g, c) in contained) for g in sorted({*weights, *(g for g, _ in contained)}) for k, (c, w) in enumerate(zip(classes, weights.get(g, zero), strict=True))]
