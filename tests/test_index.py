@@ -167,3 +167,19 @@ def test_typescript_and_scss():
     got = [(t["name"], t["kind"], t["start_line"]) for t in scss.parse("$a: url(http://x/.no); /* .c1 {\n*/ .c2 .c3 { }\n%ph { }\n@function f() { }\n.c2 { }")["types"]]
     assert got == [("a", "ScssVariable", 1), ("c2", "ScssSelector", 2), ("c3", "ScssSelector", 2), ("ph", "ScssPlaceholder", 3), ("f", "ScssFunction", 4)]
     assert typescript.parse("")["types"] == [] and csharp.parse("class {{{")["types"] == []
+
+
+def test_render(spark, index, tmp_path):
+    from sparkloom.plans import render
+
+    text = render.dossier(tools.explain_symbol(index, "Store"))
+    assert text.startswith("== type ==\nStore") and "== derived ==" in text
+    short = render.dossier({"a": index.types.select("name"), "b": index.types.select("path")}, 510)
+    assert "== a ==" in short and "(left out: b)" in short
+    assert render.table(index.types.filter("false")) == "(none)"
+    store, made = Store(spark, f"file://{tmp_path}/i"), []
+    store.refresh(frame(spark, FILES))
+    digest = render.Digest(store)
+    for _ in range(2):
+        digest.text(lambda i: made.append(1) or "x")
+    assert made == [1]
