@@ -8,11 +8,12 @@ import uuid
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import is_generated, is_test
-from ..operators.relations import copied_forward, delta, with_precedence
+from ..operators.relations import copied_forward, delta, recent_notes, with_precedence
 from . import csharp, scss, tree, typescript
 
 _MEMBER = "struct<name:string,kind:string,return_type:string,signature:string,start_line:int,line_count:int>"
@@ -180,3 +181,21 @@ class Store:
                 self._fs.delete(status.getPath(), True)
                 gone.append(name)
         return gone
+
+
+class Notes:
+    """Short notes beside a store: appended, read back without repeats, newest first."""
+
+    def __init__(self, store: Store):
+        self.spark, self.folder = store.spark, f"{store.folder}/notes"
+
+    def remember(self, note: str) -> None:
+        row = [(time.time_ns(), note)]
+        self.spark.createDataFrame(row, "seq long, note string").coalesce(1).write.mode("append").parquet(self.folder)
+
+    def recent(self, most: int = 50) -> DataFrame:
+        try:
+            notes = self.spark.read.schema("seq long, note string").parquet(self.folder)
+        except AnalysisException:
+            notes = self.spark.createDataFrame([], "seq long, note string")
+        return recent_notes(notes, most)

@@ -86,3 +86,16 @@ def refresh_on(calls: DataFrame, refresh, checkpoint: str, gap: str = DEBOUNCE,
             refresh(row["segment"], row["force_full"])
 
     return debounced(calls, gap).writeStream.foreachBatch(act).option("checkpointLocation", checkpoint).outputMode("append").trigger(processingTime=trigger).start()
+
+
+def watch(store, scan, checkpoint: str, interval: str = "10 seconds"):
+    """Starts a query that compares the tree with the published version every `interval` and
+    publishes what has changed. `scan()` gives the tree's files. File streams only see new files;
+    comparing times also sees those that were rewritten or removed."""
+
+    def act(batch: DataFrame, _: int) -> None:
+        if batch.limit(1).count():
+            store.refresh(scan())
+
+    ticks = store.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(act).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.plans import tools
 from sparkloom.sources import csharp, scss, tree, typescript
-from sparkloom.sources.index import Store, build
+from sparkloom.sources.index import Notes, Store, build
 
 T0 = datetime.datetime(2024, 1, 1)
 FILES = {
@@ -183,3 +183,36 @@ def test_render(spark, index, tmp_path):
     for _ in range(2):
         digest.text(lambda i: made.append(1) or "x")
     assert made == [1]
+
+
+def test_notes(spark, tmp_path):
+    notes = Notes(Store(spark, f"file://{tmp_path}/i"))
+    assert notes.recent().count() == 0
+    for note in ("first", "second  line\n", "first"):
+        notes.remember(note)
+    assert names(notes.recent(), "note") == ["first", "second line"]
+
+
+def test_watch_publishes_changes(spark, tmp_path):
+    import time
+
+    from sparkloom.streaming.changes import watch
+
+    root = tmp_path / "tree"
+    (root / "web").mkdir(parents=True)
+    (root / "web/package.json").write_text('{"name": "web"}')
+    (root / "web/a.ts").write_text("export class A {}")
+    store = Store(spark, f"file://{tmp_path}/index")
+    query = watch(store, lambda: tree.scan(spark, str(root)), f"{tmp_path}/state", "1 second")
+    try:
+        for wanted, content in ((["A"], None), (["A", "B"], "export class A {}\nexport class B {}")):
+            if content:
+                (root / "web/a.ts").write_text(content)
+            for _ in range(60):
+                index = store.current()
+                if index and sorted(names(index.types)) == wanted:
+                    break
+                time.sleep(0.5)
+            assert sorted(names(store.current().types)) == wanted
+    finally:
+        query.stop()
