@@ -420,6 +420,27 @@ def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return linked(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+OP3_SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM split WHERE len(ws) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT c.a, c.b FROM common c JOIN sizes x ON x.doc_id = c.a JOIN sizes y ON y.doc_id = c.b WHERE 100 * c.n >= 80 * (x.n + y.n - c.n)
+), reach AS (
+  SELECT a AS start, b AS node FROM links UNION SELECT start, b FROM reach JOIN links ON node = a
+), least AS (
+  SELECT start, min(node) AS least FROM reach GROUP BY start
+)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(least, d.doc_id)) AS component_id
+FROM split d LEFT JOIN sizes USING (doc_id) LEFT JOIN least ON start = d.doc_id
+"""
+
+
 def one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage: of each component of linked documents the one with the smallest id, with all its
     columns. Documents without words stay, and so do rows without an id, which nothing can name.

@@ -109,3 +109,23 @@ def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(chunk.doc_ids, pa.int64()), pa.array(n), pa.array(cut), pa.array(kept)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     return removed_words(spark.read.parquet(f"{sf_dir}/documents.parquet"), out, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+OP9_SQL = r"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), windows AS (
+  SELECT doc_id, i, md5(array_to_string(ws[i:i + 34], ' ')) AS key FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM split WHERE len(ws) >= 35)
+), twice AS (
+  SELECT doc_id, i FROM windows WHERE key IN (SELECT key FROM windows GROUP BY key HAVING count(*) > 1)
+), gone AS (
+  SELECT DISTINCT doc_id, i + step AS place FROM twice, range(0, 35) AS steps(step)
+), words AS (
+  SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS place FROM split
+), kept AS (
+  SELECT w.doc_id, count(g.place) AS n_removed, string_agg(word, ' ' ORDER BY w.place) FILTER (WHERE g.place IS NULL) AS kept
+  FROM words w LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.place = w.place GROUP BY w.doc_id
+)
+SELECT s.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM split s LEFT JOIN kept k ON k.doc_id = s.doc_id
+"""

@@ -171,3 +171,28 @@ def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(chunk.doc_ids, pa.int64()), pa.array(np.diff(chunk.offsets)), pa.array(cut), pa.array(spans), pa.array(kept)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return removed_bytes(spark.read.parquet(f"{sf_dir}/documents.parquet"), out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+OP5_SQL = r"""
+WITH hexed AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), windows AS (
+  SELECT doc_id, i, md5(substr(h, 2 * i + 1, 400)) AS key FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 199)) AS i FROM hexed WHERE length(h) >= 400)
+), twice AS (
+  SELECT doc_id, i FROM windows WHERE key IN (SELECT key FROM windows GROUP BY key HAVING count(*) > 1)
+), marked AS (
+  SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS opens FROM twice
+), numbered AS (
+  SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM marked
+), runs AS (
+  SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM numbered GROUP BY doc_id, run
+), gaps AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM runs
+), kept AS (
+  SELECT g.doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS front, max(b) AS last
+  FROM gaps g JOIN hexed USING (doc_id) GROUP BY g.doc_id
+)
+SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE front || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM hexed d LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""
