@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from .arrays import Spans, words_of
 from .chunks import Answered, Chunk, answers, chunked, informed, mapped
 from .components import components
-from .scratch import partitions, written
+from .scratch import partitions, workspace, written
 
 WIDTH, PERCENT = 5, 80
 #: L of the first filter as a share of a node's shingles.
@@ -398,20 +398,22 @@ def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, room: in
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach) of every row."""
     if not 67 <= percent <= 100:
         raise ValueError("percent lies between 67 and 100, so that three distances stay under 1")
-    shards = partitions(docs.sparkSession)
-    chunks = chunked(docs, doc_id, text)
+    spark = docs.sparkSession
+    shards = partitions(spark)
 
     def described(chunk):
         sets = shingle_sets(chunk, width)
         return pa.RecordBatch.from_arrays([pa.array(chunk.doc_ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.int64())], ["doc_id", "n_shingles", "node"])
 
-    rows = written(mapped(chunks, described, "doc_id long, n_shingles long, node long"), "sets")
-    anchored = _anchored(_candidates(chunks, width, percent, shards), percent, shards)
-    labels = metric_links(anchored, percent, room)
-    named = rows.filter("n_shingles > 0")
-    least = named.groupBy("node").agg(F.min("doc_id").alias("first")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    groups = least.groupBy("label").agg(F.min("first").alias("component_id"))
-    least = written(least.join(groups, "label").select("node", "component_id"), "components").withColumnRenamed("node", "key")
+    with workspace(spark):
+        chunks = chunked(docs, doc_id, text)
+        rows = written(mapped(chunks, described, "doc_id long, n_shingles long, node long"), "sets", stay=True)
+        anchored = _anchored(_candidates(chunks, width, percent, shards), percent, shards)
+        labels = metric_links(anchored, percent, room)
+        named = rows.filter("n_shingles > 0")
+        least = named.groupBy("node").agg(F.min("doc_id").alias("first")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        groups = least.groupBy("label").agg(F.min("first").alias("component_id"))
+        least = written(least.join(groups, "label").select("node", "component_id"), "components", stay=True).withColumnRenamed("node", "key")
     match = (F.col("node") == F.col("key")) & (F.col("n_shingles") > 0)
     return rows.join(least, match, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,15 +21,39 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: Folders of the workspaces that are open, innermost last.
+_open: list[str] = []
+
+
+def _path(spark: SparkSession, name: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+@contextmanager
+def workspace(spark: SparkSession):
+    """Tables written inside are deleted at its end, but for those that are to stay."""
+    folder = f"{shared_folder(spark)}/work-{uuid.uuid4().hex}"
+    _open.append(folder)
+    try:
+        yield
+    finally:
+        _open.remove(folder)
+        at, files = _path(spark, folder)
+        files.delete(at, True)
+
+
+def written(df: DataFrame, name: str, stay: bool = False) -> DataFrame:
     """`df` as a Parquet table in the shared folder: its lineage ends there, and lost executors
-    cost no more than the reading of a file. The table goes when the session ends."""
+    cost no more than the reading of a file. The table goes with the workspace it is written in,
+    or (outside of one, or if it is to stay) when the session ends."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    inside = bool(_open) and not stay
+    path = f"{_open[-1] if inside else shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    if not inside:
+        at, files = _path(spark, path)
+        files.deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
