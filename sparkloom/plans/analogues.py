@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions.names import initials, subsequence
-from ..functions.text import base_name, clipped, estimated_tokens, folder_key, lines
+from ..functions.names import ancestors, initials, kind_filter, simple_base_name, subsequence
+from ..functions.text import age, base_name, clipped, estimated_tokens, folder_key, is_generated, is_test, lines
 from ..operators import graph, relations, search, text
 from ..operators.scalars import first_of, top
 from ..streaming.changes import classified, debounced_batch
@@ -415,13 +416,93 @@ def text_dedup(spark, sf_dir):
 
 TEXT_DEDUP_SQL = """WITH r AS (SELECT doc_id, source, sha256(text) AS digest, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS n FROM documents) SELECT doc_id, source, digest FROM r WHERE n = 1"""
 
+_PATHS = ["a/Form.Designer.cs", "b/Reference.cs", "c/T.g.cs", "x/Store.cs", "tests/Store.cs", "x/StoreTests.cs", "x/latest/Store.cs", "x/AssemblyInfo.cs", "x/temporarygeneratedfile_1.cs", "Test/y.cs"]
+_PROJECTS = ["Core", "Core.Tests", "Acme.Test", "Contest", "Acme.Testing"]
+
+
+def file_facets(spark, sf_dir):
+    """Generated and test files, by rules on names; paths and projects are made from event ids."""
+    pick = lambda values, key: F.element_at(F.array(*map(F.lit, values)), (key % len(values) + 1).cast("int"))
+    rows = table(spark, sf_dir, "events").select("event_id", pick(_PATHS, F.col("event_id")).alias("path"), pick(_PROJECTS, F.col("user_id")).alias("project"))
+    name = base_name(F.col("path"))
+    return rows.select("event_id", is_generated(name).alias("generated"), is_test(F.col("project"), name, F.col("path")).alias("test"))
+
+
+FILE_FACETS_SQL = f"""WITH e AS (SELECT event_id, {_PATHS!r}[event_id % 10 + 1] AS path, {_PROJECTS!r}[user_id % 5 + 1] AS project FROM events),
+n AS (SELECT *, lower(string_split(path, '/')[-1]) AS name, list_transform(string_split(path, '/')[:-2], lambda p: lower(p)) AS folders, string_split(project, '.')[-1] AS tail FROM e)
+SELECT event_id, name LIKE '%.designer.cs' OR name LIKE '%.g.cs' OR name LIKE '%.g.i.cs' OR name LIKE '%.generated.cs' OR name IN ('reference.cs', 'assemblyinfo.cs')
+  OR name LIKE 'temporarygeneratedfile\\_%.cs' ESCAPE '\\' OR name LIKE '%.assemblyattributes.cs' AS generated,
+  tail LIKE '%Tests' OR tail = 'Test' OR name LIKE '%tests.cs' OR list_has_any(folders, ['test', 'tests']) AS test FROM n"""
+
+
+def age_format(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", age(F.floor("o_totalprice")).alias("age"))
+
+
+AGE_FORMAT_SQL = """WITH s AS (SELECT o_orderkey, floor(o_totalprice)::BIGINT AS s FROM orders)
+SELECT o_orderkey, CASE WHEN s < 90 THEN s || 's' WHEN s // 60 < 90 THEN (s // 60) || 'm' WHEN s // 3600 < 48 THEN (s // 3600) || 'h' ELSE (s // 86400) || 'd' END AS age FROM s"""
+
+
+def scope_resolution(spark, sf_dir):
+    """Parts as types in namespaces of their brand and type; a name is in scope of a customer's
+    segment when its namespace is one of those around a.b of the segment and key."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(".", "p_type", F.concat(F.lit("s"), (F.col("p_size") % 3).cast("string"))).alias("namespace"))
+    files = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("file"), ancestors(F.concat_ws(".", "p_type", F.concat(F.lit("s"), (F.col("p_partkey") % 3).cast("string")), F.lit("x"))).alias("scope")).filter("file % 50 = 0")
+    met = files.select("file", F.explode("scope").alias("namespace")).join(parts, "namespace")
+    return met.groupBy("file").agg(F.count("*").alias("in_scope"), F.min("p_partkey").alias("first"))
+
+
+SCOPE_RESOLUTION_SQL = """WITH p AS (SELECT p_partkey, p_type || '.s' || (p_size % 3) AS namespace FROM part),
+f AS (SELECT p_partkey AS file, p_type || '.s' || (p_partkey % 3) || '.x' AS own FROM part WHERE p_partkey % 50 = 0)
+SELECT file, count(*)::BIGINT AS in_scope, min(p_partkey) AS first FROM f JOIN p ON own = namespace OR starts_with(own, namespace || '.') GROUP BY file"""
+
+
+def base_type_names(spark, sf_dir):
+    """Simple names of bases made from part names: namespace and type arguments go."""
+    base = F.concat(F.lit("Acme."), F.initcap(F.element_at(F.split("p_name", " "), 1)), F.lit("<"), F.col("p_type"), F.lit(", A.B>"))
+    return table(spark, sf_dir, "part").groupBy(simple_base_name(base).alias("base")).agg(F.count("*").alias("derived"))
+
+
+BASE_TYPE_NAMES_SQL = """SELECT upper(w[1]) || lower(w[2:]) AS base, count(*)::BIGINT AS derived FROM (SELECT string_split(p_name, ' ')[1] AS w FROM part) GROUP BY 1"""
+
+
+def name_disambiguation(spark, sf_dir):
+    """Folders of pages, named by their last part; equal names (in any case) get the folder."""
+    folders = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "^[a-z]+://(.*)/[^/]*$", 1).alias("dir")).distinct()
+    named = folders.select(F.element_at(F.split("dir", "/"), -1).alias("name"), "dir")
+    n = F.count("*").over(Window.partitionBy(F.lower("name")))
+    return named.select("dir", F.when(n > 1, F.concat("name", F.lit(" ["), "dir", F.lit("]"))).otherwise(F.col("name")).alias("name"))
+
+
+NAME_DISAMBIGUATION_SQL = """WITH f AS (SELECT DISTINCT regexp_extract(url, '^[a-z]+://(.*)/[^/]*$', 1) AS dir FROM pages), n AS (SELECT dir, string_split(dir, '/')[-1] AS name FROM f)
+SELECT dir, CASE WHEN count(*) OVER (PARTITION BY lower(name)) > 1 THEN name || ' [' || dir || ']' ELSE name END AS name FROM n"""
+
+
+def symbol_json(spark, sf_dir):
+    """Symbols as compact JSON."""
+    rows = symbols(spark, sf_dir).filter("project IN ('region', 'nation')")
+    return rows.select(F.to_json(F.struct("name", "kind", "project", F.col("start_line").alias("startLine"))).alias("json"))
+
+
+SYMBOL_JSON_SQL = f"""{SYMBOLS_SQL} SELECT to_json({{'name': name, 'kind': kind, 'project': project, 'startLine': start_line}})::VARCHAR AS json FROM symbols WHERE project IN ('region', 'nation')"""
+
+
+def kind_filtered(spark, sf_dir):
+    rows = symbols(spark, sf_dir)
+    found = rows.filter(kind_filter(F.col("kind"), "class")).unionByName(rows.filter(kind_filter(F.col("kind"), "property")))
+    return found.groupBy("project", "kind").agg(F.count("*").alias("n"))
+
+
+KIND_FILTERED_SQL = f"""{SYMBOLS_SQL} SELECT project, kind, count(*)::BIGINT AS n FROM symbols WHERE kind IN ('Class', 'Property') GROUP BY ALL"""
+
 _UNIFORM = "1.0 / (SELECT count(*) FROM nation)"
 QUERIES = {
     f.__name__: f
     for f in (
         symbol_search, symbol_search_budget, text_search_faceted, reference_scan, grouped_caps, did_you_mean, range_enclosing, kind_distribution, top_groups, delta_snapshot, copy_forward,
         segment_union, unused_and_missing, partial_merge, idf_terms, edge_weights, pagerank_nations, pagerank_focus, definition_scores, transitive_closure, call_tree_bounded, edge_lists,
-        debounce_sessions, event_classify, notes_recent, initials_match, clip_lines, path_dedup, text_dedup,
+        debounce_sessions, event_classify, notes_recent, initials_match, clip_lines, path_dedup, text_dedup, file_facets, age_format, scope_resolution, base_type_names, name_disambiguation,
+        symbol_json, kind_filtered,
     )
 }
 ORACLE_SQL = {
@@ -432,5 +513,6 @@ ORACLE_SQL = {
     "pagerank_focus": _ranks_sql(0.5, "CASE WHEN n_nationkey IN (3, 7) THEN 0.5 ELSE 0.0 END", "CASE WHEN dst IN (3, 7) THEN 4 * weight ELSE weight END"),
     "definition_scores": DEFINITION_SCORES_SQL, "transitive_closure": TRANSITIVE_CLOSURE_SQL, "call_tree_bounded": CALL_TREE_BOUNDED_SQL, "edge_lists": EDGE_LISTS_SQL,
     "debounce_sessions": DEBOUNCE_SESSIONS_SQL, "event_classify": EVENT_CLASSIFY_SQL, "notes_recent": NOTES_RECENT_SQL, "initials_match": INITIALS_MATCH_SQL, "clip_lines": CLIP_LINES_SQL,
-    "path_dedup": PATH_DEDUP_SQL, "text_dedup": TEXT_DEDUP_SQL,
+    "path_dedup": PATH_DEDUP_SQL, "text_dedup": TEXT_DEDUP_SQL, "file_facets": FILE_FACETS_SQL, "age_format": AGE_FORMAT_SQL, "scope_resolution": SCOPE_RESOLUTION_SQL,
+    "base_type_names": BASE_TYPE_NAMES_SQL, "name_disambiguation": NAME_DISAMBIGUATION_SQL, "symbol_json": SYMBOL_JSON_SQL, "kind_filtered": KIND_FILTERED_SQL,
 }

@@ -14,22 +14,22 @@ TS_SKIPPED = [*SKIPPED, "dist", ".next"]
 TS_EXTENSIONS = ["ts", "tsx", "mts", "cts"]
 
 
-def scan(spark: SparkSession, root: str) -> DataFrame:
+def scan(spark: SparkSession, root: str, also_skipped: tuple[str, ...] = ()) -> DataFrame:
     """path (relative to root), name, dir, ext, mtime, content of all files outside skipped folders.
     The content is read only where a query selects it."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = spark._jvm.org.apache.hadoop.fs.Path(root)
     base = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(base).toUri().getPath().rstrip("/")
     path = F.substring(F.regexp_replace("path", "^[a-z0-9]+:(//[^/]*)?", ""), len(base) + 2, 1 << 30)
-    return tree(files.select(path.alias("path"), F.col("modificationTime").alias("mtime"), "content"))
+    return tree(files.select(path.alias("path"), F.col("modificationTime").alias("mtime"), "content"), also_skipped)
 
 
-def tree(files: DataFrame) -> DataFrame:
+def tree(files: DataFrame, also_skipped: tuple[str, ...] = ()) -> DataFrame:
     """The same from rows of path, mtime and content (binary or text)."""
     norm = F.replace("path", F.lit("\\"), F.lit("/"))
     out = files.select(norm.alias("path"), "mtime", F.col("content").cast("string").alias("content"))
     out = out.withColumn("name", F.element_at(F.split("path", "/"), -1)).withColumn("dir", F.regexp_extract("path", "^(.*)/[^/]*$", 1))
-    return out.withColumn("ext", F.lower(F.regexp_extract("name", r"\.([^.]+)$", 1))).filter(~_within("dir", SKIPPED))
+    return out.withColumn("ext", F.lower(F.regexp_extract("name", r"\.([^.]+)$", 1))).filter(~_within("dir", [*SKIPPED, *map(str.lower, also_skipped)]))
 
 
 def _within(folder: str, names: list[str]) -> Column:
