@@ -68,11 +68,6 @@ class Segments:
             if at[s] < at[s + 1]:
                 yield s, rows[order[at[s] : at[s + 1]]]
 
-    def covered(self, repeated: np.ndarray, n: int) -> np.ndarray:
-        """Which of n symbols lie in the windows that start at `repeated`."""
-        edge = np.bincount(repeated, minlength=n + 1) - np.bincount(repeated + self.length, minlength=n + 1)
-        return np.cumsum(edge[:n]) > 0
-
     def windows(self, segments: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All window starts of some segments, and where each segment's begin."""
         sizes = self.last[segments] - self.first[segments] + 1
@@ -122,12 +117,15 @@ def ends_of_matches(found: Segments, flags: np.ndarray, shards: int):
         yield s, found.distinct[rows]
 
 
-def repeated_windows(found: Segments, flags: np.ndarray, replies: dict[int, bytes], shards: int) -> np.ndarray:
-    """The starts of all repeated windows of a chunk, from the answers of both rounds."""
+def covered(found: Segments, flags: np.ndarray, replies: dict[int, bytes], shards: int, n: int) -> np.ndarray:
+    """Which of a chunk's n symbols lie in repeated windows, from the answers of both rounds."""
     whole = np.flatnonzero(flags[found.pair] & 1)
-    starts = [found.windows(whole)[0]]
+    starts, stops = [found.first[whole]], [found.last[whole] + found.length]
     for s, segments in ends_of_matches(found, flags, shards):
         # a pair that occurs once in the chunk has one segment; else it is repeated as a whole
         windows, _ = found.windows(segments)
-        starts.append(windows[np.unpackbits(np.frombuffer(replies[s], np.uint8), count=len(windows)).astype(bool)])
-    return np.unique(np.concatenate(starts))
+        hit = windows[np.unpackbits(np.frombuffer(replies[s], np.uint8), count=len(windows)).astype(bool)]
+        starts.append(hit)
+        stops.append(hit + found.length)
+    edge = np.bincount(np.concatenate(starts), minlength=n + 1) - np.bincount(np.concatenate(stops), minlength=n + 1)
+    return np.cumsum(edge[:n]) > 0

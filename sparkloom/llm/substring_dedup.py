@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 
 from .arrays import mix, owners, words_of
 from .chunks import Chunk, answers, chunked, informed, mapped
-from .repeats import Segments, answer_segments, ask_segments, ends_of_matches, read_segments, repeated_windows
+from .repeats import Segments, answer_segments, ask_segments, covered, ends_of_matches, read_segments
 from .scratch import partitions
 
 LENGTH, GRAM = 35, 12
@@ -64,8 +64,8 @@ def removed_words(docs: DataFrame, out, schema: str, length: int = LENGTH, gram:
 
     def finish(chunk):
         (starts, ends, _, offsets), found = _segments(chunk, length, gram)
-        repeated = repeated_windows(found, read_segments(found, chunk.answers(1), shards), chunk.answers(2), shards)
-        return out(chunk, starts, ends, offsets, found.covered(repeated, len(starts)))
+        gone = covered(found, read_segments(found, chunk.answers(1), shards), chunk.answers(2), shards, len(starts))
+        return out(chunk, starts, ends, offsets, gone)
 
     return mapped(informed(chunks, first, second), finish, schema)
 

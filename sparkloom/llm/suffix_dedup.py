@@ -1,8 +1,8 @@
 """Dedup of byte strings by a logarithmic family of suffix arrays.
 
 The suffixes that can matter are found by winnowing (`repeats`): those at windows whose anchor
-occurs in more than one surrounding. They go to shards by anchor. A shard takes them as batches,
-one per chunk of documents. Each batch gets a suffix array (its suffixes in the order of their
+occurs in more than one surrounding. They go to shards by anchor. A shard takes them in batches of
+a few chunks of documents. Each batch gets a suffix array (its suffixes in the order of their
 first `length` bytes), which is merge-scanned against the arrays of the existing levels; a match
 of `length` bytes marks both sides. What is new becomes a level, and levels of equal size merge,
 so that a suffix is merged a logarithmic number of times.
@@ -22,12 +22,14 @@ from pyspark.sql import functions as F
 
 from .arrays import BYTE_CODE, owners
 from .chunks import Chunk, answers, chunked, informed, mapped
-from .repeats import Segments, answer_segments, ask_segments, ends_of_matches, read_segments, repeated_windows
+from .repeats import Segments, answer_segments, ask_segments, covered, ends_of_matches, read_segments
 from .scratch import partitions, workspace, written
 
 LENGTH, GRAM = 200, 100
 #: Shards of round 2 for each shuffle partition: they hold suffixes, `LENGTH` bytes each.
 FINER = 4
+#: Suffixes that a batch of a shard holds at least; chunks are added together until then.
+BATCH = 1 << 15
 
 
 class SuffixLevels:
@@ -84,17 +86,26 @@ def _ask_suffixes(found: Segments, data: np.ndarray, flags: np.ndarray, shards:
         yield s, np.int64(len(segments)).tobytes() + (sizes - found.length + 1).astype(np.int32).tobytes() + raw.tobytes()
 
 
+def _suffixes(asked: bytes, length: int) -> np.ndarray:
+    """The suffixes of a chunk's segments, cut to `length` bytes."""
+    n = int(np.frombuffer(asked, np.int64, 1)[0])
+    windows = np.frombuffer(asked, np.int32, n, 8).astype(np.int64)
+    raw = np.frombuffer(asked, np.uint8, offset=8 + 4 * n)
+    sizes = windows + length - 1
+    first = np.cumsum(sizes) - sizes
+    at = np.arange(int(windows.sum())) + np.repeat(first - (np.cumsum(windows) - windows), windows)
+    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(raw, length)[at]).view(f"S{length}").ravel()
+
+
 def _answer_suffixes(asked: list[bytes], length: int) -> list[bytes]:
-    index, numbers = SuffixLevels(length), []
-    for batch in asked:
-        n = int(np.frombuffer(batch, np.int64, 1)[0])
-        windows = np.frombuffer(batch, np.int32, n, 8).astype(np.int64)
-        raw = np.frombuffer(batch, np.uint8, offset=8 + 4 * n)
-        sizes = windows + length - 1
-        first = np.cumsum(sizes) - sizes
-        at = np.arange(int(windows.sum())) + np.repeat(first - (np.cumsum(windows) - windows), windows)
-        suffixes = np.lib.stride_tricks.sliding_window_view(raw, length)[at]
-        numbers.append(index.add(np.ascontiguousarray(suffixes).view(f"S{length}").ravel()).astype(np.int32))
+    """Bits of the suffixes that occur twice, for each chunk."""
+    index, numbers, batch = SuffixLevels(length), [], []
+    for k, one in enumerate(asked):
+        batch.append(_suffixes(one, length))
+        if sum(map(len, batch)) >= BATCH or k == len(asked) - 1:
+            found = index.add(np.concatenate(batch)).astype(np.int32)
+            numbers += np.split(found, np.cumsum([len(x) for x in batch])[:-1])
+            batch = []
     return [np.packbits(index.repeated[x]).tobytes() for x in numbers]
 
 
@@ -115,8 +126,7 @@ def removed_bytes(docs: DataFrame, out, schema: str, length: int = LENGTH, gram:
 
     def finish(chunk):
         found = _segments(chunk, length, gram)
-        repeated = repeated_windows(found, read_segments(found, chunk.answers(1), shards), chunk.answers(2), fine)
-        return out(chunk, found.covered(repeated, len(chunk.data)))
+        return out(chunk, covered(found, read_segments(found, chunk.answers(1), shards), chunk.answers(2), fine, len(chunk.data)))
 
     return mapped(informed(chunks, first, second), finish, schema)
 
