@@ -30,7 +30,7 @@ def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of three-line windows that occurred before go."""
-    return _with_length(line_dedup(docs).select(*docs.columns))
+    return _with_length(line_dedup(docs, counts=False))
 
 
 def near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

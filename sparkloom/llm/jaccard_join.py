@@ -451,4 +451,4 @@ def one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     if docs.filter("doc_id IS NOT NULL").select(*key).groupBy("doc_id", "digest").count().filter("count > 1").limit(1).count():
         docs = docs.filter("doc_id IS NULL").union(docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]))
     kept = linked(docs).filter("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
+    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.filter("doc_id IS NULL")).select(*(F.col(f"`{c}`") for c in docs.columns))

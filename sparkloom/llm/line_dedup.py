@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import unused
+
 WINDOW = 3
 
 
@@ -44,19 +46,21 @@ def covered(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return later.groupBy("id", "digest").agg(F.collect_set("pos").alias("starts"))
 
 
-def line_dedup(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` with its text deduplicated, and two more columns: _n_lines and _n_removed."""
+def line_dedup(docs: DataFrame, window: int = WINDOW, counts: bool = True, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """`docs` with its text deduplicated; with `counts` two more columns, _n_lines and _n_removed
+    (with more underscores where `docs` has those names)."""
+    id_, digest, starts, n_lines, n_removed = unused(docs, "_id", "_digest", "_starts", "_n_lines", "_n_removed")
     own = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     marks = covered(docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.xxhash64(own).alias("digest"), own.alias("text")), window)
-    marks = marks.select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), F.col("starts").alias("_starts"))
-    match = F.col("_id").eqNullSafe(F.col(f"`{doc_id}`").cast("long")) & (F.col("_digest") == F.xxhash64(own))
-    places = F.array_distinct(F.flatten(F.transform(F.col("_starts"), lambda p: F.sequence(p + 1, p + window))))
+    marks = marks.select(F.col("id").alias(id_), F.col("digest").alias(digest), F.col("starts").alias(starts))
+    match = F.col(id_).eqNullSafe(F.col(f"`{doc_id}`").cast("long")) & (F.col(digest) == F.xxhash64(own))
+    places = F.array_distinct(F.flatten(F.transform(F.col(starts), lambda p: F.sequence(p + 1, p + window))))
     kept = _lines(own, lambda lines: F.array_join(F.transform(F.array_except(F.sequence(F.lit(1), F.size(lines)), places), lambda i: F.element_at(lines, i)), "\n"))
-    out = docs.join(marks, match, "left")
-    same = [F.col(f"`{c}`") for c in docs.columns if c != text]
-    changed = F.when(F.col("_starts").isNull(), F.col(f"`{text}`")).otherwise(kept).alias(text)
-    out = out.select(*same, changed, _lines(own, F.size).alias("_n_lines"), F.coalesce(F.size(places), F.lit(0)).alias("_n_removed"))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns), "_n_lines", F.when(F.col("_n_removed") > 0, F.col("_n_removed")).otherwise(0).alias("_n_removed"))
+    marked = F.col(starts).isNotNull()
+    columns = [F.when(marked, kept).otherwise(F.col(f"`{text}`")).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns]
+    if counts:
+        columns += [_lines(own, F.size).alias(n_lines), F.when(marked, F.size(places)).otherwise(0).alias(n_removed)]
+    return docs.join(marks, match, "left").select(*columns)
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -64,3 +64,13 @@ def bounded_batches(spark: SparkSession) -> None:
 
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names with as many underscores in front as keep them apart from the columns of `df`."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name = f"_{name}"
+        out.append(name)
+    return out

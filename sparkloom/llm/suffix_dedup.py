@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .arrays import BYTE_CODE, owners
 from .chunks import Chunk, answers, chunked, informed, mapped
 from .repeats import Segments, answer_segments, ask_segments, covered, ends_of_matches, read_segments
-from .scratch import partitions, workspace, written
+from .scratch import partitions, unused, workspace, written
 
 LENGTH, GRAM = 200, 100
 #: Shards of round 2 for each shuffle partition: they hold suffixes, `LENGTH` bytes each.
@@ -169,11 +169,12 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
         texts = [kept[i].decode(errors="ignore") for i in rows]
         return pa.RecordBatch.from_arrays([pa.array([chunk.doc_ids[i] for i in rows], pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())], ["_id", "_digest", "_text"])
 
+    names = unused(docs, "_id", "_digest", "_text")
     with workspace(docs.sparkSession):
         changed = written(removed_bytes(docs, out, "_id long, _digest string, _text string", length, gram), "changed", stay=True)
-    changed = changed.dropDuplicates(["_id", "_digest"])
-    match = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.md5(F.col("text").cast("binary")) == F.col("_digest"))
-    return docs.join(changed, match, "left").select(*(F.coalesce("_text", "text").alias("text") if c == "text" else F.col(c) for c in docs.columns))
+    changed = changed.dropDuplicates(["_id", "_digest"]).toDF(*names)
+    match = F.col("doc_id").eqNullSafe(F.col(names[0])) & (F.md5(F.col("text").cast("binary")) == F.col(names[1]))
+    return docs.join(changed, match, "left").select(*(F.coalesce(names[2], "text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
 
 
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:

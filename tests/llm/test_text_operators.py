@@ -374,3 +374,16 @@ def test_repeated_rows(spark):
     assert sorted((r["doc_id"], r["n_removed"]) for r in substring_dedup.substring_dedup(docs).collect()) == [(1, 50), (1, 50), (2, 0)]
     assert sorted((r["doc_id"], r["n_removed"] > 0) for r in suffix_dedup.suffix_dedup(docs, 100, 20).collect()) == [(1, True), (1, True), (2, False)]
     assert sorted(tuple(r) for r in jaccard_join.linked(docs).collect()) == [(1, 46, 1), (1, 46, 1), (2, 1, 2)]
+
+
+def test_clashing_columns(spark):
+    rows = [(1, "a b\nc d\ne f", 0, 0, 0, "x", 0, 0, 0, 0, "y z"), (2, "a b\nc d\ne f", None, None, None, None, None, None, None, None, None)]
+    names = ["doc_id", "text", "_id", "_digest", "_starts", "_text", "_n_lines", "_n_removed", "count", "component_id", "a.b"]
+    docs = spark.createDataFrame(rows, ", ".join(f"`{n}` {'string' if n in ('text', '_text', 'a.b') else 'long'}" for n in names))
+    assert line_dedup.line_dedup(docs).columns == [*names, "__n_lines", "__n_removed"]
+    assert sorted(r["text"] for r in line_dedup.line_dedup(docs, counts=False).collect()) == ["", "a b\nc d\ne f"]
+    assert {r["text"] for r in suffix_dedup.without_repeats(docs, 5, 2).collect()} == {""}
+    assert suffix_dedup.without_repeats(docs).columns == names
+    kept = jaccard_join.one_of_each(spark, docs, "")
+    assert kept.columns == names and [r["doc_id"] for r in kept.collect()] == [1]
+    assert packing.pack_documents(docs).count() == 2 and jaccard_join.linked(docs).count() == 2
