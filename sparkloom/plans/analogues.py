@@ -101,7 +101,7 @@ def reference_scan(spark, sf_dir):
     from ..functions.text import mentions
 
     english = documents(spark, sf_dir).filter("lang = 'en'")
-    return text.counted(text.line_hits(english, lambda c: mentions(c, "the")), ["doc_id"]).select("doc_id", "matches")
+    return text.counted(text.line_hits(english, lambda c: mentions(c, "the"), "the"), ["doc_id"]).select("doc_id", "matches")
 
 
 REFERENCE_SCAN_SQL = rf"""WITH {_LINES_SQL}
@@ -109,7 +109,7 @@ SELECT doc_id, count(*)::BIGINT AS matches FROM kept WHERE lang = 'en' AND NOT s
 
 
 def grouped_caps(spark, sf_dir):
-    hits = text.line_hits(documents(spark, sf_dir), lambda c: c.contains("tion"))
+    hits = text.line_hits(documents(spark, sf_dir), lambda c: c.contains("tion"), "tion")
     return text.grouped(hits, "doc_id").select("doc_id", "file_rank", "matches", "line_no", "in_file")
 
 
@@ -203,7 +203,7 @@ SELECT name, 'cs' AS segment FROM s UNION ALL SELECT name, 'ts' FROM c WHERE low
 
 def unused_and_missing(spark, sf_dir):
     docs = documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("name"), "text")
-    used = text.line_hits(docs, lambda c: c.contains("ing ")).groupBy("name").agg(F.min("line_no").cast("int").alias("line"))
+    used = text.line_hits(docs, lambda c: c.contains("ing "), "ing ").groupBy("name").agg(F.min("line_no").cast("int").alias("line"))
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("name"), "quality", "toxic")
     imported = labels.filter("quality = 1").select("name", F.lit(0).alias("line"))
     return relations.unused_and_missing(used, imported, labels.filter("quality = 0").select("name"), docs.select("name"))
@@ -224,13 +224,12 @@ g AS (SELECT name, min(namespace) AS namespace, count(*)::BIGINT AS parts, array
 SELECT *, count(*) OVER (PARTITION BY name) > 1 AS ambiguous FROM g"""
 
 
-def _mentions(spark, sf_dir):
-    words = F.regexp_extract_all(F.col("text"), F.lit("[A-Za-z]+"), 0)
-    return documents(spark, sf_dir).select(F.col("doc_id").alias("doc"), F.explode(words).alias("name"))
+def _words():
+    return F.regexp_extract_all(F.col("text"), F.lit("[A-Za-z]+"), 0)
 
 
 def idf_terms(spark, sf_dir):
-    found = _mentions(spark, sf_dir)
+    found = documents(spark, sf_dir).select(F.col("doc_id").alias("doc"), F.explode(F.array_distinct(_words())).alias("name"))
     n = table(spark, sf_dir, "documents").count()
     return graph.term_weights(found, n).select("name", "df", F.round("idf", 6).alias("idf"))
 
@@ -245,7 +244,7 @@ IDF_TERMS_SQL = f"WITH {_MENTIONS_SQL} SELECT name, df, round(idf, 6) AS idf FRO
 
 def edge_weights(spark, sf_dir):
     """Definers of a name: the documents that begin a line with it."""
-    found = _mentions(spark, sf_dir)
+    found = graph.mention_counts(documents(spark, sf_dir).select(F.col("doc_id").alias("doc"), F.explode(_words()).alias("name")))
     first = text.exploded_lines(documents(spark, sf_dir)).select(F.col("doc_id").alias("doc"), F.regexp_extract("line", "^([A-Z][a-z]+)", 1).alias("name")).filter("name <> ''").distinct()
     weights = graph.term_weights(found, table(spark, sf_dir, "documents").count()).filter("df <= 20")
     return graph.mention_edges(found, first, weights).select("src", "dst", F.round("weight", 6).alias("weight"))
@@ -389,7 +388,7 @@ SELECT * FROM i WHERE regexp_matches(initials, '(?i)^.*R.*W')"""
 
 
 def clip_lines(spark, sf_dir):
-    hits = text.line_hits(documents(spark, sf_dir), lambda c: c.contains("and"))
+    hits = text.line_hits(documents(spark, sf_dir), lambda c: c.contains("and"), "and")
     return hits.select("doc_id", "line_no", clipped(F.col("line"), 60, "and").alias("clipped"), estimated_tokens(F.col("line")).alias("tokens"))
 
 

@@ -78,23 +78,24 @@ def matching_file(index: Index, file: str) -> DataFrame:
 
 
 def search_text(index: Index, query: str, project: str | None = None, is_regex: bool = False, ignore_case: bool = False, include_generated: bool = False, most: int = text.MAX, per_file: int = text.PER_FILE) -> DataFrame:
-    hits = _text_hits(index, lambda c: line_matches(c, query, is_regex, ignore_case), project, include_generated)
+    literal = None if is_regex or ignore_case else query
+    hits = _text_hits(index, lambda c: line_matches(c, query, is_regex, ignore_case), project, include_generated, literal)
     return text.grouped(hits, "path", F.col("generated"), per_file, most)
 
 
-def _text_hits(index: Index, predicate, project, include_generated: bool) -> DataFrame:
+def _text_hits(index: Index, predicate, project, include_generated: bool, literal: str | None) -> DataFrame:
     files = _in_project(index.texts, project)
-    return text.line_hits(files if include_generated else files.filter("NOT generated"), predicate)
+    return text.line_hits(files if include_generated else files.filter("NOT generated"), predicate, literal)
 
 
 def find_references(index: Index, symbol: str, project: str | None = None, include_generated: bool = False, most: int = text.MAX, per_file: int = text.PER_FILE) -> DataFrame:
-    return text.grouped(_text_hits(index, lambda c: mentions(c, symbol), project, include_generated), "path", F.col("generated"), per_file, most)
+    return text.grouped(_text_hits(index, lambda c: mentions(c, symbol), project, include_generated, symbol), "path", F.col("generated"), per_file, most)
 
 
 def reference_facets(index: Index, symbol: str, project: str | None = None) -> DataFrame:
     """True totals of references in production, test and generated files, and those in strings or
     comments only."""
-    hits = _text_hits(index, lambda c: mentions(c, symbol), project, True).withColumn("quoted", outside_code(F.col("line"), symbol))
+    hits = _text_hits(index, lambda c: mentions(c, symbol), project, True, symbol).withColumn("quoted", outside_code(F.col("line"), symbol))
     files = text.counted(hits, ["path", "generated", "test"], ~F.col("quoted"))
     return text.facets(files, F.col("generated"), F.col("test"))
 
@@ -252,10 +253,11 @@ def mention_graph(index: Index) -> tuple[DataFrame, DataFrame, DataFrame]:
     known = types.filter(F.rlike("name", F.lit(r"^\p{Lu}")) & (F.length("name") >= 3)).select("name", F.col("path").alias("doc")).distinct()
     words = F.regexp_extract_all(code_of(F.col("line")), F.lit(r"[\p{L}_][\p{L}\p{Nd}_]*"), 0)
     found = text.exploded_lines(files.select("path", "text")).select(F.col("path").alias("doc"), F.explode(words).alias("name")).join(known.select("name").distinct(), "name", "left_semi")
-    weights = graph.term_weights(found, files.count())
+    counts = graph.mention_counts(found)
+    weights = graph.term_weights(counts, files.count())
     members = index.members.filter(~is_generated(F.col("file"))).select(F.col("path").alias("doc"), "name", "kind", "signature", "start_line", "project")
     shown = types.select(F.col("path").alias("doc"), "name", "kind", F.concat_ws(" ", "keyword", "name").alias("signature"), "start_line", "project")
-    return files.select(F.col("path").alias("node")), graph.mention_edges(found, known, weights), shown.unionByName(members)
+    return files.select(F.col("path").alias("node")), graph.mention_edges(counts, known, weights), shown.unionByName(members)
 
 
 def repo_map(index: Index, focus: list[str] | None = None, token_budget: int = 2000, project: str | None = None) -> DataFrame:
