@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.code import code_of, outside_code
 from ..functions.names import ancestors, folded, kind_filter, namespace_matches, same_name, simple_base_name
@@ -185,28 +186,40 @@ def callees(index: Index, method: str, language: str = "both", project: str | No
 
 def trace_calls(index: Index, method: str, direction: str = "callees", depth: int = 3, project: str | None = None, most: int = 40) -> DataFrame:
     """The call tree in depth-first order: no, depth, name, already (traced further up). Neighbours
-    come in order of name. The walk is sequential, so it runs on the driver over the edges within
-    `depth` steps, which the cluster selects first."""
+    come in order of name. The walk is sequential, so it runs on the driver; it asks the cluster for
+    the neighbours of all names it has met at once, and no more than `most` of each, since no more
+    rows are shown."""
     depth, most = min(max(depth, 1), 6), min(max(most, 5), 200)
     ends = ("enclosing_member", "name") if direction == "callees" else ("name", "enclosing_member")
     defined = index.members.filter("kind = 'Method'").select(F.col("name").alias("dst")).unionByName(index.types.filter("kind = 'Function'").select(F.col("name").alias("dst")))
-    edges = calls(index, "both", project).select(F.col(ends[0]).alias("src"), F.col(ends[1]).alias("dst")).distinct().filter("src <> dst")
-    if direction == "callees":
-        edges = edges.join(defined.distinct(), "dst", "left_semi")
-    spark = index.files.sparkSession
-    near = graph.closure(edges, spark.createDataFrame([(method,)], "node string"), depth).select(F.col("node").alias("src"))
+    edges = calls(index, "both", project).select(F.col(ends[0]).alias("src"), F.col(ends[1]).alias("dst")).filter("src <> dst")
     after: dict[str, list[str]] = {}
-    for src, dst in edges.join(near, "src", "left_semi").select("src", "dst").collect():
-        after.setdefault(src, []).append(dst)
-    out, seen, stack = [], set(), [(method, 0)]
+    while True:
+        out, unknown = _walk(method, after, depth, most)
+        if not unknown:
+            break
+        near = edges.filter(F.col("src").isin(unknown)).distinct()
+        near = near.join(defined, "dst", "left_semi") if direction == "callees" else near
+        rank = F.row_number().over(Window.partitionBy("src").orderBy("dst"))
+        after |= {name: [] for name in unknown}
+        for row in near.withColumn("n", rank).filter(F.col("n") <= most).collect():
+            after[row["src"]].append(row["dst"])
+    return index.files.sparkSession.createDataFrame(out, "no int, depth int, name string, already boolean").orderBy("no")
+
+
+def _walk(root: str, after: dict[str, list[str]], depth: int, most: int) -> tuple[list[tuple], list[str]]:
+    """The rows of a depth-first walk, and the names whose neighbours it lacked."""
+    out, unknown, seen, stack = [], [], set(), [(root, 0)]
     while stack and len(out) < most:
         name, d = stack.pop()
         already = name in seen
         out.append((len(out), d, name, already))
         if not already and d < depth:
             seen.add(name)
+            if name not in after:
+                unknown.append(name)
             stack += [(n, d + 1) for n in sorted(after.get(name, []), reverse=True)]
-    return spark.createDataFrame(out, "no int, depth int, name string, already boolean").orderBy("no")
+    return out, unknown
 
 
 # -- source
