@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import slices, texts_of
-from .scratch import bounded_batches, partitions, written
+from .scratch import bounded_batches, written
 
 CHUNK_BYTES = 1 << 20
 _CHUNK = "chunk long, doc_ids array<long>, offsets binary, size long, data binary"

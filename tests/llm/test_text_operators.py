@@ -1,7 +1,6 @@
 """The operators on texts against brute force, on small tables with every odd case."""
 
 import collections
-import hashlib
 import random
 import re
 
