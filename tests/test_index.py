@@ -1,7 +1,6 @@
 import datetime
 
 import pytest
-from pyspark.sql import functions as F
 
 from sparkloom.plans import tools
 from sparkloom.sources import csharp, scss, tree, typescript
