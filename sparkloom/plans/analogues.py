@@ -246,7 +246,7 @@ def edge_weights(spark, sf_dir):
     """Definers of a name: the documents that begin a line with it."""
     found = graph.mention_counts(documents(spark, sf_dir).select(F.col("doc_id").alias("doc"), F.explode(_words()).alias("name")))
     first = text.exploded_lines(documents(spark, sf_dir)).select(F.col("doc_id").alias("doc"), F.regexp_extract("line", "^([A-Z][a-z]+)", 1).alias("name")).filter("name <> ''").distinct()
-    weights = graph.term_weights(found, table(spark, sf_dir, "documents").count()).filter("df <= 20")
+    weights = graph.term_weights(found, table(spark, sf_dir, "documents").count())
     return graph.mention_edges(found, first, weights).select("src", "dst", F.round("weight", 6).alias("weight"))
 
 
