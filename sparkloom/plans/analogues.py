@@ -326,7 +326,7 @@ SELECT node, min(depth)::INTEGER AS depth FROM reach GROUP BY node"""
 
 
 def call_tree_bounded(spark, sf_dir):
-    edges = nation_edges(spark, sf_dir).filter("weight % 3 = 0").select("src", "dst")
+    edges = nation_edges(spark, sf_dir).select("src", "dst")
     return graph.closure(edges, spark.createDataFrame([(0,)], "node int"), 3)
 
 
@@ -446,9 +446,10 @@ def scope_resolution(spark, sf_dir):
     """Parts as types in namespaces of their brand and type; a name is in scope of a customer's
     segment when its namespace is one of those around a.b of the segment and key."""
     parts = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(".", "p_type", F.concat(F.lit("s"), (F.col("p_size") % 3).cast("string"))).alias("namespace"))
-    files = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("file"), ancestors(F.concat_ws(".", "p_type", F.concat(F.lit("s"), (F.col("p_partkey") % 3).cast("string")), F.lit("x"))).alias("scope")).filter("file % 50 = 0")
-    met = files.select("file", F.explode("scope").alias("namespace")).join(parts, "namespace")
-    return met.groupBy("file").agg(F.count("*").alias("in_scope"), F.min("p_partkey").alias("first"))
+    files = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("file"), ancestors(F.concat_ws(".", "p_type", F.concat(F.lit("s"), (F.col("p_partkey") % 3).cast("string")), F.lit("x"))).alias("scope"))
+    held = parts.groupBy("namespace").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first"))  # so that a file meets namespaces, not parts
+    met = files.select("file", F.explode("scope").alias("namespace")).join(held, "namespace")
+    return met.groupBy("file").agg(F.sum("n").alias("in_scope"), F.min("first").alias("first"))
 
 
 SCOPE_RESOLUTION_SQL = """WITH p AS (SELECT p_partkey, p_type || '.s' || (p_size % 3) AS namespace FROM part),

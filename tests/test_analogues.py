@@ -23,3 +23,22 @@ def test_edge_weights_keep_frequent_names(spark, tmp_path):
                 want[src, dst] += math.sqrt(c[name]) * (math.log((len(texts) + 1) / (df[name] + 1)) + 1) / definers[name]
     got = {(r["src"], r["dst"]): r["weight"] for r in analogues.edge_weights(spark, str(tmp_path)).collect()}
     assert df["Widget"] == 40 and got == pytest.approx(dict(want), abs=1e-6)
+
+
+def test_scope_resolution_of_every_file(spark, tmp_path):
+    parts = [(i, ("A.B", "A.B.C", "X")[i % 3], i % 7) for i in range(1, 121)]
+    spark.createDataFrame(parts, "p_partkey long, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    namespaces = {k: f"{t}.s{size % 3}" for k, t, size in parts}
+    want = {}
+    for k, t, _ in parts:
+        met = [p for p, n in namespaces.items() if f"{t}.s{k % 3}.x".startswith(n + ".")]
+        if met:
+            want[k] = (len(met), min(met))
+    got = {r["file"]: (r["in_scope"], r["first"]) for r in analogues.scope_resolution(spark, str(tmp_path)).collect()}
+    assert got == want and len(got) > 100
+
+
+def test_call_tree_follows_every_edge(spark, tmp_path, monkeypatch):
+    edges = spark.createDataFrame([(0, 1, 4), (1, 2, 6), (2, 3, 5), (3, 4, 9), (0, 5, 3)], "src int, dst int, weight long")
+    monkeypatch.setattr(analogues, "nation_edges", lambda *_: edges)
+    assert {r["node"]: r["depth"] for r in analogues.call_tree_bounded(spark, str(tmp_path)).collect()} == {0: 0, 1: 1, 2: 2, 3: 3, 5: 1}
