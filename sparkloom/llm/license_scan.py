@@ -1,15 +1,19 @@
 """Licence scan: a trained paragraph classifier, applied in DataFrame functions only.
 
-A paragraph (a line of a text) is a sparse vector of word n-grams, n up to 3, that contain a cue word
-such as "license" or "copyright". Multinomial logistic regression over them names a licence family
-or "unknown"; a temperature fitted on held-out examples calibrates the probabilities, and what is
-under `least` for every family is unknown. A prediction counts as confirmed when the paragraph's
-n-grams are contained in the family's templates to `similar` or more.
+Classified are the lines of a text, and its paragraphs: the runs of lines between blank ones, joined,
+so that a notice wrapped over lines is seen as a whole. Each is a sparse vector of its word n-grams,
+n up to 3. Multinomial logistic regression over them names a licence family or "unknown"; a
+temperature fitted on held-out examples calibrates the probabilities, and what is under `least` for
+every family is unknown. A prediction counts as confirmed when the n-grams are contained in the
+family's templates to `similar` or more, or those of one such template in the paragraph.
 
-A paragraph without a cue has no feature, hence the score of the bias alone, which is unknown; so
-the scan looks for the cues' stems first and loses nothing. The model is trained on the driver from the
-templates below and negatives made of their words; weights are a table of bounded size (n-grams of
-the templates), which is broadcast.
+A paragraph of several lines is a finding of its own, at its first line, unless a line of it is a confirmed
+finding of the same family.
+
+The scan first looks for anchors: words, one of each of the n-grams without which the weights cannot
+lift a family above unknown (`anchors`). What holds none is unknown, so nothing is lost. The model is
+trained on the driver from the templates below and negatives made of their words; weights are a table
+of bounded size (n-grams of the templates and of the prose), which is broadcast.
 
 Nulls count as empty texts, which have no licence; texts are read whole; a document is known by
 doc_id (null included) and the digest of its text, repeated rows being reported once; two equal
@@ -22,12 +26,15 @@ from __future__ import annotations
 import math
 import random
 import re
-from functools import lru_cache, reduce
+from collections import Counter
+from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-LEAST, SIMILAR, SIZE = 0.5, 0.5, 3
+LEAST, SIMILAR, SIZE, SPARSE, COMMON = 0.5, 0.5, 3, 0.03, 5
 UNKNOWN = "unknown"
 
 #: Short notices by family, in the words that their publishers ask for.
@@ -62,6 +69,13 @@ TEMPLATES = {
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License.",
         "Licensed under the GNU General Public License, version 2 or later.",
+        "Released under GPLv3.",
+        "Licensed under the GPL.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
+    "isc": [
+        "Released under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     ],
     "lgpl": [
         "Licensed under the GNU Lesser General Public License, version 2.1.",
@@ -70,7 +84,8 @@ TEMPLATES = {
     "mit": [
         "Released under the MIT License.",
         "Licensed under the MIT License.",
-        'Permission is hereby granted, free of charge, under the MIT License, to any person obtaining a copy of this software.',
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
     ],
     "mpl": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
@@ -78,15 +93,15 @@ TEMPLATES = {
     ],
     "proprietary": ["All rights reserved.", "Copyright. All rights reserved.", "Proprietary and confidential. All rights reserved."],
 }
-#: Sentences of ordinary prose with cue words, for the unknown class.
+#: Sentences of ordinary prose with words of the templates, for the unknown class.
 _PROSE = [
     "His driving license was lost in the mail.", "They argued about human rights all night.", "The warranty of the kettle had expired.", "She studied at MIT before the war.",
     "The apache helicopter landed on the field.", "A gnu and a zebra crossed the common.", "The domain of the function is the set of reals.", "The House of Commons met again.",
+    "It was released under the terms of the contract.", "You can use it for any purpose, with or without a permit.", "The river moves to the sea and the people are free to use the work of the city.",
+    "They say that it has been so for years, as those who are with us may know, and that not all can see it.", "What are you to do with a house that has not been lived in for so long as this?",
+    "As for that, so far it has not rained and the roads are dry with dust.", "You may see that there are so many of them, as it has not been for a while with us.",
     "Copyright is a matter for the courts.", "Please cc the editor.", "The fishing license costs ten dollars.", "All animals have rights.", "Modern redistribution of income is a subject of the book.",
 ]
-_CUES = r"\b(?:licen[sc]|copyright|rights\b|warrant|redistribut|apache\b|gnu\b|mozilla\b|commons\b|cc by\b|cc0\b|domain\b)"
-#: Every cue holds one of these, in whatever spacing; a plain search for them is far cheaper than the pattern.
-_STEMS = ["licen", "copyright", "rights", "warrant", "redistribut", "apache", "gnu", "mozilla", "commons", "cc", "domain"]
 _SPLIT = r"[^a-z0-9.]+"
 
 
@@ -94,8 +109,14 @@ def grams(text: str) -> set[str]:
     """The features of a paragraph; the same as `_grams` of a column in lower case."""
     words = [w.strip(".") for w in re.split(_SPLIT, text.lower())]
     words = [w for w in words if w]
-    every = {" ".join(words[i : i + n]) for n in range(1, SIZE + 1) for i in range(len(words) - n + 1)}
-    return {g for g in every if re.search(_CUES, g)}
+    return {" ".join(words[i : i + n]) for n in range(1, SIZE + 1) for i in range(len(words) - n + 1)}
+
+
+@lru_cache(1)
+def _met() -> Counter:
+    """Templates and sentences that hold each run of letters and digits."""
+    texts = [*_PROSE, *(t for family in TEMPLATES.values() for t in family)]
+    return Counter(r for t in texts for r in set(re.findall("[a-z0-9]+", t.lower())))
 
 
 @lru_cache(1)
@@ -113,36 +134,58 @@ def trained(epochs: int = 40, seed: int = 11) -> tuple[list[str], dict[str, list
                 noise = [rng.choice(["see", "file", "data", "note", "2024", "inc", "project"]) for _ in range(at)]
                 examples.append((grams(" ".join(noise + kept if k % 2 else kept + noise)), classes.index(family), k % 5 == 4))
     vocabulary = sorted({w for texts in TEMPLATES.values() for t in texts for w in t.split()})
-    for k in range(260):
-        text = " ".join(rng.sample(vocabulary, rng.randint(3, 9))) if k % 2 else rng.choice(_PROSE)
+    for k in range(400):
+        size = rng.randint(3, 9) if k % 4 < 2 else rng.randint(10, 150)
+        text = rng.choice(_PROSE) if k % 4 == 0 else " ".join(rng.sample(vocabulary, min(size, len(vocabulary))))
         examples.append((grams(text), len(classes) - 1, k % 5 == 4))
+    learned = sorted(set().union(*map(grams, _PROSE), *(grams(t) for texts in TEMPLATES.values() for t in texts)))
+    place = {g: i for i, g in enumerate(learned)}
+    met = _met()
+    plain = np.array([min(met[r] for r in re.findall("[a-z0-9]+", g)) >= COMMON for g in learned])[:, None]
+    examples = [(np.array([place[g] for g in sorted(x) if g in place], int), y, h) for x, y, h in examples]
     learn, held = [e for e in examples if not e[2]], [e for e in examples if e[2]]
-    weights: dict[str, list[float]] = {g: [0.0] * len(classes) for x, _, _ in learn for g in sorted(x)}
-    bias = [0.0] * (len(classes) - 1) + [2.0]
-
-    def logits(x):
-        out = bias[:]
-        for g in x:
-            if g in weights:
-                out = [a + b for a, b in zip(out, weights[g], strict=True)]
-        return out
+    weights = np.zeros((len(learned), len(classes)))
+    bias = np.array([0.0] * (len(classes) - 1) + [2.0])
+    logits = lambda x: bias + weights[x].sum(0)
 
     def softmax(z):
-        e = [math.exp(v - max(z)) for v in z]
-        return [v / sum(e) for v in e]
+        e = np.exp(z - z.max())
+        return e / e.sum()
 
     for epoch in range(epochs):
         rng.shuffle(learn)
         rate = 0.5 / (1 + epoch / 8)
         for x, y, _ in learn:
             p = softmax(logits(x))
-            step = [rate * ((c == y) - v) for c, v in enumerate(p)]
-            for g in x:
-                weights[g] = [w * (1 - 1e-3 * rate) + s for w, s in zip(weights[g], step, strict=True)]
-    loss = lambda t: -sum(math.log(softmax([v / t for v in logits(x)])[y] + 1e-12) for x, y, _ in held)
+            moved = weights[x] + rate * ((np.arange(len(classes)) == y) - p)
+            weights[x] = np.sign(moved) * np.maximum(np.abs(moved) - SPARSE * rate, 0)  # L1: few n-grams carry a family
+            weights[x] = np.where(plain[x], np.minimum(weights[x], weights[x][:, -1:]), weights[x])  # common words alone never do
+    loss = lambda t: -sum(math.log(softmax(logits(x) / t)[y] + 1e-12) for x, y, _ in held)
     heat = min((t / 4 for t in range(2, 17)), key=loss)
     # classes that share the n-grams of no template stay at the prior: without features, unknown
-    return classes, {g: [v / heat for v in w] for g, w in sorted(weights.items())}, [v / heat for v in bias]
+    return classes, {g: (weights[i] / heat).tolist() for g, i in place.items()}, (bias / heat).tolist()
+
+
+@lru_cache(1)
+def anchors() -> list[str]:
+    """Runs of letters and digits, one of which every text holds whose best class is a family: of each
+    family's n-grams those with the rarest runs are taken until the rest together cannot outweigh the bias
+    of unknown. Of an n-gram's runs the one in fewest templates and sentences stands for it."""
+    classes, weights, bias = trained()
+    met = _met()
+    out = set()
+    for k in range(len(classes) - 1):
+        gain = Counter()
+        for g, w in weights.items():
+            if w[k] > w[-1]:
+                gain[min(re.findall("[a-z0-9]+", g), key=lambda r: (met[r], -len(r), r))] += w[k] - w[-1]
+        rest = sum(gain.values())
+        for run in sorted(gain, key=lambda r: (met[r], -len(r), r)):
+            if rest + bias[k] < bias[-1]:
+                break
+            rest -= gain[run]
+            out.add(run)
+    return sorted(out)
 
 
 def _grams(paragraph):
@@ -154,36 +197,65 @@ def _grams(paragraph):
         return F.when(F.size(bound) >= n, every).otherwise(F.array().cast("array<string>"))
 
     def of(bound):
-        every = F.concat(*(runs(bound, n) for n in range(1, SIZE + 1)))
-        return F.filter(F.array_distinct(every), lambda g: F.rlike(g, F.lit(_CUES)))
+        return F.array_distinct(F.concat(*(runs(bound, n) for n in range(1, SIZE + 1))))
 
     return F.element_at(F.transform(F.array(words), of), 1)
 
 
+def _bound(value, then):
+    """`then` of a column that is computed once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _paragraphs(low):
+    """first, lines: each run of lines that are not blank, and the number of its first line, from 1."""
+    def runs(ls):
+        blank = lambda i: F.get(ls, i).rlike(r"^\s*$")
+        begins = F.filter(F.transform(ls, lambda x, i: F.when(~blank(i) & ((i == 0) | F.coalesce(blank(i - 1), F.lit(True))), i + 1)), lambda i: i.isNotNull())
+        ends = F.filter(F.transform(ls, lambda x, i: F.when(~blank(i) & F.coalesce(blank(i + 1), F.lit(True)), i + 1)), lambda i: i.isNotNull())
+        return F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("first"), F.slice(ls, a, b - a + 1).alias("lines")))
+
+    return _bound(F.split(low, "\n", -1), runs)
+
+
 def license_scan(docs: DataFrame, least: float = LEAST, similar: float = SIMILAR, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, paragraph (number of the line, from 1), family, probability, similarity, confirmed:
-    the paragraphs that the classifier assigns to a family."""
+    """doc_id, paragraph (number of its first line, from 1), family, probability, similarity, confirmed:
+    the lines and the paragraphs of several lines that the classifier assigns to a family."""
     spark = docs.sparkSession
     classes, weights, bias = trained()
     own = F.col(f"`{text}`").cast("string")
-    some = lambda c: reduce(lambda x, y: x | y, (c.contains(s) for s in _STEMS))
-    hit = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), own.alias("text"), F.lower(own).alias("low")).filter(some(F.col("low")))
-    lines = hit.select("doc_id", F.xxhash64("text").alias("digest"), F.posexplode(F.split("low", "\n", -1)).alias("paragraph", "line")).filter(some(F.col("line")))
-    found = lines.select("doc_id", "digest", (F.col("paragraph") + 1).alias("paragraph"), _grams(F.col("line")).alias("grams")).filter(F.size("grams") > 0).distinct()
-    contained = {(g, f) for f, texts in TEMPLATES.items() for t in texts for g in grams(t)}
-    zero = [0.0] * len(classes)
-    rows = [(g, k, w, (g, c) in contained) for g in sorted({*weights, *(g for g, _ in contained)}) for k, (c, w) in enumerate(zip(classes, weights.get(g, zero), strict=True))]
-    table = spark.createDataFrame(rows, "gram string, k int, w double, inside boolean")  # n-grams of the templates, by class
-    key = ["doc_id", "digest", "paragraph"]
-    known = found.select(*key, F.size("grams").alias("grams"), F.explode("grams").alias("gram")).join(F.broadcast(table), "gram")
-    z = F.sum("w") + F.element_at(F.array(*map(F.lit, bias)), F.col("k") + 1)
-    scored = known.groupBy(*key, "grams", "k").agg(z.alias("z"), (F.count_if("inside") / F.col("grams")).alias("similarity"))
-    options = F.array_sort(F.collect_list(F.struct("z", "k", "similarity")))
-    best = scored.groupBy(*key).agg(options.alias("options")).withColumn("best", F.element_at("options", -1))
+    some = lambda c: F.arrays_overlap(F.split(c, "[^a-z0-9]+"), F.array(*map(F.lit, anchors())))
+    docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), own.alias("text"))
+    blocks = docs.select("doc_id", F.xxhash64("text").alias("digest"), F.explode(_paragraphs(F.lower("text"))).alias("p")).select("doc_id", "digest", F.col("p.first").alias("first"), F.col("p.lines").alias("lines"))
+
+    def units(marked):  # an anchor never spans lines
+        single = F.transform(F.filter(marked, lambda m: m["some"]), lambda m: F.struct(m["paragraph"].alias("paragraph"), F.lit(False).alias("joined"), m["line"].alias("line")))
+        whole = F.array(F.struct(F.col("first").alias("paragraph"), F.lit(True).alias("joined"), F.array_join("lines", " ").alias("line")))
+        return F.when((F.size(single) > 0) & (F.size("lines") > 1), F.concat(single, whole)).otherwise(single)
+
+    marked = F.transform("lines", lambda x, i: F.struct((F.col("first") + i).alias("paragraph"), x.alias("line"), some(x).alias("some")))
+    units = blocks.select("doc_id", "digest", "first", F.explode(_bound(marked, units)).alias("u")).select("doc_id", "digest", "first", "u.*")
+    key = ["doc_id", "digest", "first", "paragraph", "joined"]
+    found = units.select(*key, _grams(F.col("line")).alias("grams")).filter(F.size("grams") > 0)
+    held = [(k, grams(t)) for k, c in enumerate(classes) for t in TEMPLATES.get(c, [])]
+    ordered = sorted(weights)
+    marks = [[int(g in x) for _, x in held] for g in ordered]
+    inside = [[int(any(m for m, (k, _) in zip(row, held, strict=True) if k == c)) for c in range(len(classes))] for row in marks]
+    # the gram "" stands in each paragraph once, so that rows that occur twice can be told from one
+    rows = [("", 1, *bias, *[0] * (len(classes) + len(held)))] + [(g, 0, *weights[g], *i, *m) for g, i, m in zip(ordered, inside, marks, strict=True)]
+    w, f, t = ([f"{x}{k}" for k in range(n)] for x, n in (("w", len(classes)), ("f", len(classes)), ("t", len(held))))
+    table = spark.createDataFrame(rows, ", ".join(["gram string", "copies int", *(f"{c} double" for c in w), *(f"{c} int" for c in f + t)]))  # n-grams of the templates, by class and template
+    known = found.select(*key, F.size("grams").alias("grams"), F.explode(F.concat(F.array(F.lit("")), "grams")).alias("gram")).join(F.broadcast(table), "gram")
+    summed = known.groupBy(*key, "grams").agg(*(F.sum(c).alias(c) for c in ["copies", *w, *f, *t]))
+    alike = lambda k: F.greatest(F.lit(0.0), F.col(f[k]) / F.col("copies") / F.col("grams"), *(F.col(t[j]) / F.col("copies") / len(x) for j, (c, x) in enumerate(held) if c == k))
+    options = F.array_sort(F.array(*(F.struct((F.col(w[k]) / F.col("copies")).alias("z"), F.lit(k).alias("k"), alike(k).alias("similarity")) for k in range(len(classes)))))
+    best = summed.select(*key, options.alias("options")).withColumn("best", F.element_at("options", -1))
     total = F.aggregate("options", F.lit(0.0), lambda sum_, o: sum_ + F.exp(o["z"] - F.col("best.z")))
-    best = best.select("doc_id", "paragraph", F.element_at(F.array(*map(F.lit, classes)), F.col("best.k") + 1).alias("family"), (1 / total).alias("probability"), "best.similarity")
-    best = best.filter((F.col("family") != UNKNOWN) & (F.col("probability") >= least))
-    return best.select("doc_id", "paragraph", "family", F.round("probability", 6).alias("probability"), F.round("similarity", 6).alias("similarity"), (F.col("similarity") >= similar).alias("confirmed"))
+    best = best.select(*key, F.element_at(F.array(*map(F.lit, classes)), F.col("best.k") + 1).alias("family"), (1 / total).alias("probability"), "best.similarity")
+    best = best.filter((F.col("family") != UNKNOWN) & (F.col("probability") >= least)).withColumn("confirmed", F.col("similarity") >= similar)
+    told = F.max(~F.col("joined") & F.col("confirmed")).over(Window.partitionBy("doc_id", "digest", "first", "family"))
+    best = best.withColumn("told", told).filter(~F.col("joined") | ~F.col("told"))
+    return best.select("doc_id", "paragraph", "family", F.round("probability", 6).alias("probability"), F.round("similarity", 6).alias("similarity"), "confirmed")
 
 
 def op7_license_scan(spark, sf_dir: str) -> DataFrame:

@@ -386,3 +386,25 @@ def test_clashing_columns(spark):
     kept = jaccard_join.one_of_each(spark, docs, "")
     assert kept.columns == names and [r["doc_id"] for r in kept.collect()] == [1]
     assert packing.pack_documents(docs).count() == 2 and jaccard_join.linked(docs).count() == 2
+
+
+def test_license_notices_as_published(spark):
+    """Notices without the former cue words, and notices wrapped over lines."""
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
+    isc = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+    gpl = "This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation"
+    wrapped = "\n".join(["first", "", "# Permission is hereby", "# granted, free of", "# charge, to any", "# person obtaining a", "# copy of this", "# software", "", "last"])
+    got = {}
+    for r in license_scan.license_scan(frame(spark, ["Released under GPLv3.", mit, isc, gpl, wrapped, "the old river moves to the sea"])).collect():
+        got.setdefault(r["doc_id"], set()).add((r["paragraph"], r["family"], r["confirmed"]))
+    assert got[0] == {(1, "gpl", True)} and got[1] == {(1, "mit", True)} and got[2] == {(1, "isc", True)}
+    assert {f for _, f, _ in got[3]} == {"gpl"} and any(c for *_, c in got[3])
+    assert (3, "mit", True) in got[4] and 5 not in got
+
+
+def test_license_anchors_lose_nothing():
+    classes, weights, bias = license_scan.trained()
+    anchors = set(license_scan.anchors())
+    for k, _ in enumerate(classes[:-1]):
+        free = [w for g, w in weights.items() if not anchors & set(re.findall("[a-z0-9]+", g))]
+        assert sum(max(0, w[k] - w[-1]) for w in free) + bias[k] < bias[-1]
