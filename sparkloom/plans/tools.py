@@ -10,7 +10,7 @@ from ..functions.code import code_of, outside_code
 from ..functions.names import ancestors, folded, kind_filter, namespace_matches, same_name, simple_base_name
 from ..functions.text import age, estimated_tokens, is_generated, line_matches, lines, mentions
 from ..operators import graph, relations, search, text
-from ..operators.scalars import first_of, packed, top
+from ..operators.scalars import first_of, packed, settled, top
 from ..sources.index import Index, Store
 
 
@@ -282,7 +282,8 @@ def repo_map(index: Index, focus: list[str] | None = None, token_budget: int = 2
         low = [f.lower() for f in focus]
         by_file = index.files.filter(F.lower("name").isin(low) | F.lower("path").isin(low)).select(F.col("path").alias("node"))
         by_name = definitions.filter(F.col("name").isin(focus)).select(F.col("doc").alias("node"))
-        hits = [r[0] for r in by_file.union(by_name).distinct().orderBy("node").limit(1000).collect()]
+        found = settled(by_file.union(by_name).join(nodes, "node", "left_semi").distinct())
+        hits = found if found.limit(1).count() else None
     scores = graph.definition_scores(graph.pagerank(nodes, edges, hits), definitions)
     scores = _in_project(scores, project)
     budget = min(max(token_budget, 50), 20_000) - 40

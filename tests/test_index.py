@@ -1,6 +1,7 @@
 import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.plans import tools
 from sparkloom.sources import csharp, scss, tree, typescript
@@ -215,3 +216,17 @@ def test_watch_publishes_changes(spark, tmp_path):
             assert sorted(names(store.current().types)) == wanted
     finally:
         query.stop()
+
+
+def test_repo_map_focus_has_no_cap(spark, monkeypatch):
+    """A focus symbol that 1,200 files define: each of them gets the same teleport mass and boost."""
+    from types import SimpleNamespace
+
+    paths = [f"f{i:04}.cs" for i in range(1200)]
+    files = spark.createDataFrame([(p, p) for p in [*paths, "z.cs"]], "name string, path string")
+    edges = spark.createDataFrame([("z.cs", p, 1.0) for p in paths], "src string, dst string, weight double")
+    definitions = spark.createDataFrame([(p, "Same", "Class", "class Same", 1, "P") for p in paths] + [("z.cs", "Other", "Class", "class Other", 1, "P")], "doc string, name string, kind string, signature string, start_line int, project string")
+    monkeypatch.setattr(tools, "mention_graph", lambda _: (files.select(F.col("path").alias("node")), edges, definitions))
+    monkeypatch.setattr(tools, "packed", lambda rows, *_: rows)
+    scores = {r["doc"]: r["score"] for r in tools.repo_map(SimpleNamespace(files=files), ["Same"]).collect()}
+    assert len(scores) == 1201 and scores["f1199.cs"] == pytest.approx(scores["f0000.cs"]) and scores["f1199.cs"] == pytest.approx(1 / 1200)
