@@ -100,8 +100,7 @@ FROM files LEFT JOIN labels USING (doc_id) GROUP BY source"""
 def reference_scan(spark, sf_dir):
     from ..functions.text import mentions
 
-    english = documents(spark, sf_dir).filter("lang = 'en'")
-    return text.counted(text.line_hits(english, lambda c: mentions(c, "the"), "the"), ["doc_id"]).select("doc_id", "matches")
+    return text.counted(text.line_hits(documents(spark, sf_dir), lambda c: mentions(c, "the"), "the"), ["doc_id"]).select("doc_id", "matches")
 
 
 REFERENCE_SCAN_SQL = rf"""WITH {_LINES_SQL}
@@ -302,7 +301,7 @@ def definition_scores(spark, sf_dir):
     ranks = graph.pagerank(_nodes(spark, sf_dir), nation_edges(spark, sf_dir), iterations=_STEPS, tolerance=0)
     defs = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("doc"), F.col("s_name").alias("name"), F.lit("Method").alias("kind"))
     defs = defs.unionByName(table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("doc"), F.col("c_name").alias("name"), F.lit("Property").alias("kind")))
-    return top(graph.definition_scores(ranks, defs).select("doc", "name", F.round("score", 6).alias("score")), 100, [F.desc("score"), "doc", "name"])
+    return graph.definition_scores(ranks, defs).select("doc", "name", F.round("score", 6).alias("score"))
 
 
 DEFINITION_SCORES_SQL = f"""WITH ranks AS ({_ranks_sql(0.85, "1.0 / (SELECT count(*) FROM nation)", "weight").replace("round(rank, 6)", "rank")}),
@@ -480,8 +479,7 @@ SELECT dir, CASE WHEN count(*) OVER (PARTITION BY lower(name)) > 1 THEN name ||
 
 def symbol_json(spark, sf_dir):
     """Symbols as compact JSON."""
-    rows = symbols(spark, sf_dir).filter("project IN ('region', 'nation')")
-    return rows.select(F.to_json(F.struct("name", "kind", "project", F.col("start_line").alias("startLine"))).alias("json"))
+    return symbols(spark, sf_dir).select(F.to_json(F.struct("name", "kind", "project", F.col("start_line").alias("startLine"))).alias("json"))
 
 
 SYMBOL_JSON_SQL = f"""{SYMBOLS_SQL} SELECT to_json({{'name': name, 'kind': kind, 'project': project, 'startLine': start_line}})::VARCHAR AS json FROM symbols WHERE project IN ('region', 'nation')"""

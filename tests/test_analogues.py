@@ -42,3 +42,18 @@ def test_call_tree_follows_every_edge(spark, tmp_path, monkeypatch):
     edges = spark.createDataFrame([(0, 1, 4), (1, 2, 6), (2, 3, 5), (3, 4, 9), (0, 5, 3)], "src int, dst int, weight long")
     monkeypatch.setattr(analogues, "nation_edges", lambda *_: edges)
     assert {r["node"]: r["depth"] for r in analogues.call_tree_bounded(spark, str(tmp_path)).collect()} == {0: 0, 1: 1, 2: 2, 3: 3, 5: 1}
+
+
+def test_whole_tables(spark, tmp_path, monkeypatch):
+    """Symbols of all tables, documents of all languages, and every definition."""
+    for name, keys in (("region", "r_name string, r_regionkey long"), ("nation", "n_name string, n_nationkey long"), ("supplier", "s_name string, s_suppkey long, s_nationkey long"), ("customer", "c_name string, c_custkey long, c_nationkey long"), ("part", "p_name string, p_partkey long")):
+        wide = "nationkey long" in keys and name != "nation"
+        n = 150 if name == "customer" else 2
+        spark.createDataFrame([(f"{name}{i}", i) + ((i % 2,) if wide else ()) for i in range(n)], keys).write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.createDataFrame([(0, "s", "in the end", "en"), (1, "s", "sous the pont", "fr"), (2, "s", "über the, the", "de"), (3, "s", "thé other", "fr"), (4, "s", "the", None)], "doc_id long, source string, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(analogues, "nation_edges", lambda *_: spark.createDataFrame([(0, 1, 2), (1, 0, 1)], "src long, dst long, weight long"))
+    at = str(tmp_path)
+    assert analogues.symbol_json(spark, at).count() == 158
+    assert {r["doc_id"] for r in analogues.reference_scan(spark, at).collect()} == {0, 1, 2, 4}
+    scores = analogues.definition_scores(spark, at).collect()
+    assert len(scores) == 152 and sum(r["score"] for r in scores) == pytest.approx(1, abs=1e-4)
