@@ -408,3 +408,12 @@ def test_license_anchors_lose_nothing():
     for k, _ in enumerate(classes[:-1]):
         free = [w for g, w in weights.items() if not anchors & set(re.findall("[a-z0-9]+", g))]
         assert sum(max(0, w[k] - w[-1]) for w in free) + bias[k] < bias[-1]
+
+
+def test_packing_long_lengths_are_exact(spark):
+    lengths = [3, 1025, 1027, 2049, 2051, 5001, 5003, 9001]
+    sized = spark.createDataFrame(list(enumerate(lengths)), "doc_id long, n_tokens long")
+    padding = lambda rows: sum(r["bucket_length"] - r["n_tokens"] for r in rows)
+    assert padding(packing.pack(sized, 4).collect()) == brute_padding(lengths, 4)
+    binned = packing.pack(sized, 8, exact=4).collect()  # more lengths than that: bins, bounded by real lengths
+    assert {r["bucket_length"] for r in binned} <= set(lengths) and sorted(r["n_tokens"] for r in binned) == lengths
