@@ -1,10 +1,10 @@
-"""Substring dedup by seed and extend.
+"""Substring dedup by seeds and window hashes.
 
 Seeds are winnowed anchors: of every window of `length` words, the smallest hash of `gram` words.
-Documents meet at equal anchors (round 1 of `repeats`), matches are extended from there to both
-sides as far as the windows around the anchor agree (whole segments at once, and window by window
-at the ends of a match), and a match counts from `length` words on. Every word of such a match
-goes, in all documents that hold it and at every occurrence.
+Documents meet at equal anchors (round 1 of `repeats`). Matches are not extended to maximal ones:
+segments whose hash occurs twice are marked whole, and at the ends of matches the hashes of the windows
+around the anchor are counted. Every word of a window of `length` words that occurs twice goes, in all
+documents that hold it and at every occurrence.
 
 Nulls count as empty texts; a text shorter than `length` words has no window and is kept; equal
 rows are copies of one another; an empty table gives an empty result; other columns are ignored.
