@@ -224,8 +224,12 @@ def license_scan(docs: DataFrame, least: float = LEAST, similar: float = SIMILAR
     spark = docs.sparkSession
     classes, weights, bias = trained()
     own = F.col(f"`{text}`").cast("string")
-    some = lambda c: F.arrays_overlap(F.split(c, "[^a-z0-9]+"), F.array(*map(F.lit, anchors())))
-    docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), own.alias("text"))
+    by_first = {}
+    for run in anchors():
+        by_first.setdefault(run[0], []).append(run[1:])
+    runs = "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by_first.items())
+    some = lambda c: F.rlike(c, F.lit(f"(?<![a-z0-9])(?:{runs})(?![a-z0-9])"))
+    docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), own.alias("text")).filter(some(F.lower("text")))
     blocks = docs.select("doc_id", F.xxhash64("text").alias("digest"), F.explode(_paragraphs(F.lower("text"))).alias("p")).select("doc_id", "digest", F.col("p.first").alias("first"), F.col("p.lines").alias("lines"))
 
     def units(marked):  # an anchor never spans lines
