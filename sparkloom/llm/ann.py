@@ -1,30 +1,30 @@
 """Approximate nearest neighbours over stable projections.
 
-Vectors are projected to a few dimensions by a Gaussian (2-stable) matrix; a kd-tree holds the
-projections of a shard. For a pair at distance d, the squared projected distance over d squared
-follows a chi-square law with one degree of freedom for each projected dimension. A query visits
-the tree's leaves in the order of their projected distance and verifies their rows on the original
-vectors; it stops when a row as near as its current k-th would, by that law, have been met with
-probability `confidence` already. The k-th of the home shard travels to the others (`vectors`).
+Vectors are projected to a few dimensions by a Gaussian (2-stable) matrix; kd-trees hold the
+projections. For a pair at distance d, the squared projected distance over d squared follows a
+chi-square law with one degree of freedom for each projected dimension. Nodes are visited in the order
+of their projected distance, and their rows verified on the original vectors; a query stops at a node
+if a row as near as its current k-th would, by that law, have been met with probability `confidence`
+already. The upper levels of the tree, learned from a bounded sample, deal the rows to shards
+(`vectors`), where the tree goes on; the k-th of the home shard travels to those that pass the test.
 
 The largest inner product becomes the smallest distance by one more component, sqrt(M^2 - |x|^2),
-M being the largest length in the table. Every row is indexed. Vectors that are null, zero, hold
-null or non-finite components, or have another dimension than most take no part; ties go to the
-smaller id; an empty table gives an empty result; other columns are ignored.
+M being the largest length in the table. Every row is indexed. Vectors that are null, empty or zero or
+hold null or non-finite components take no part; vectors of several dimensions are an error; ties go
+to the smaller id; of rows that share an id each is a candidate, and none is one for a query of that
+id; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import Best, search, valid
+from .vectors import Best, Described, Tree, search
 
 #: Projected dimensions (an even number) and the probability of the stopping test.
-DIMENSIONS, CONFIDENCE, LEAF = 8, 0.97, 32
+DIMENSIONS, CONFIDENCE = 8, 0.97
 
 
 def chi_square_cdf(x: np.ndarray, degrees: int) -> np.ndarray:
@@ -37,73 +37,128 @@ def chi_square_cdf(x: np.ndarray, degrees: int) -> np.ndarray:
     return 1 - total
 
 
-class KDTree:
-    """The boxes of the leaves, and the rows of each."""
+def projection(dimensions: int, onto: int, seed: int = 7) -> np.ndarray:
+    return np.random.default_rng(seed).standard_normal((dimensions, onto))
 
-    def __init__(self, points: np.ndarray, leaf: int = LEAF):
-        self.leaves: list[np.ndarray] = []
-        stack = [np.arange(len(points))]
-        while stack:
-            rows = stack.pop()
-            spread = np.ptp(points[rows], axis=0) if len(rows) else np.zeros(1)
-            if len(rows) <= leaf:
-                self.leaves.append(rows)
-                continue
-            half = len(rows) // 2
-            rows = rows[np.argpartition(points[rows, spread.argmax()], half)]
-            stack += [rows[half:], rows[:half]]
-        self.low = np.array([points[r].min(axis=0) for r in self.leaves])
-        self.high = np.array([points[r].max(axis=0) for r in self.leaves])
+
+def _box(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return part.min(axis=0), part.max(axis=0)
+
+
+def _longest_side(part: np.ndarray) -> np.ndarray | None:
+    spread = np.ptp(part, axis=0)
+    return part[:, spread.argmax()] if spread.max() > 0 else None
+
+
+def _outside(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Squared distances to a box; to several, if `low` and `high` have a row for each."""
+    low, high = np.atleast_2d(low), np.atleast_2d(high)
+    out = np.zeros((len(q), len(low)))
+    for d in range(q.shape[1]):
+        x = q[:, d : d + 1]
+        out += np.maximum(0, np.maximum(low[:, d] - x, x - high[:, d])) ** 2
+    return out
+
+
+class KDTree(Tree):
+    """A box of projections for each node."""
+
+    def __init__(self, points: np.ndarray):
+        super().__init__(points, _box, _longest_side)
+
+    @property
+    def leaves(self) -> list[np.ndarray]:
+        return [self.order[a:b] for (a, b), c in zip(self.spans, self.children, strict=True) if c[0] < 0]
 
     def distances(self, queries: np.ndarray) -> np.ndarray:
         """Squared distances from each query to each leaf's box."""
-        out = np.zeros((len(queries), len(self.leaves)))
-        for d in range(queries.shape[1]):
-            q = queries[:, d : d + 1]
-            out += np.maximum(0, np.maximum(self.low[:, d] - q, q - self.high[:, d])) ** 2
-        return out
+        last = self.children[:, 0] < 0
+        return _outside(queries, self.told[0][last], self.told[1][last])
 
 
-def projection(dimensions: int, onto: int, seed: int = 7) -> np.ndarray:
-    return np.random.default_rng(seed).standard_normal((dimensions, onto))
+class Projections:
+    """Places are the leaves of a kd-tree over a sample's projections."""
+
+    def __init__(self, dimensions: int, longest: float, onto: int, confidence: float):
+        self.pull, self.longest, self.onto, self.confidence = projection(dimensions + 1, onto), longest, onto, confidence
 
+    def prepared(self, x: np.ndarray) -> np.ndarray:
+        return x.astype(np.float64)
 
-def ann_search(ids, points, query_ids, queries, bounds, k: int, longest: float, onto: int, confidence: float):
-    """(query_id, vec_id, inner product) of each query's nearest rows found."""
-    pull = projection(points.shape[1] + 1, onto)
-    extra = np.sqrt(np.maximum(0, longest**2 - (points**2).sum(axis=1)))
-    tree = KDTree(np.column_stack([points, extra]) @ pull)
-    far = tree.distances(np.column_stack([queries, np.zeros(len(queries))]) @ pull)
-    order = np.argsort(far, axis=1, kind="stable")
-    best = Best(len(queries), k, -np.inf, bounds)
-    length = (queries**2).sum(axis=1)
-    size = max(len(r) for r in tree.leaves)
-    padded = np.array([np.concatenate([r, np.full(size - len(r), -1)]) for r in tree.leaves])
-    active = np.arange(len(queries))
-    for step in range(order.shape[1]):
-        leaf = order[active, step]
-        kth = best.kth(active)
-        reach = np.maximum(length[active] + longest**2 - 2 * kth, 1e-300)  # squared distance of the k-th
-        go = ~(chi_square_cdf(np.where(np.isfinite(reach), far[active, leaf] / reach, 0), onto) >= confidence)
-        active, leaf = active[go], leaf[go]
-        if not len(active):
-            break
-        for at in range(0, len(active), 128):  # bounds the gathered rows
-            who, rows = active[at : at + 128], padded[leaf[at : at + 128]]
-            score = np.einsum("qrd,qd->qr", points[rows], queries[who])
-            out = (rows < 0) | (ids[rows] == query_ids[who][:, None])
-            best.offer(who, np.where(out, np.iinfo(np.int64).max, ids[rows]), np.where(out, -np.inf, score))
-    return best.found(query_ids)
+    def of_rows(self, x: np.ndarray) -> np.ndarray:
+        extra = np.sqrt(np.maximum(0, self.longest**2 - (x**2).sum(axis=1)))
+        return x @ self.pull[:-1] + extra[:, None] * self.pull[-1]
+
+    def learn(self, sample: np.ndarray, places: int) -> None:
+        """Splits (side, value, children) and the boxes of the leaves, unbounded at the rim."""
+        points = self.of_rows(sample)
+        self.splits, boxes = [], []
+        stack = [(points, places, np.full(self.onto, -np.inf), np.full(self.onto, np.inf), -1, 0)]
+        while stack:
+            part, n, low, high, parent, side = stack.pop()
+            spread = np.ptp(part, axis=0) if n > 1 and len(part) > 1 else np.zeros(1)
+            if spread.max() <= 0:
+                me = -1 - len(boxes)
+                boxes.append((low, high))
+            else:
+                me, along = len(self.splits), int(spread.argmax())
+                value = float(np.quantile(part[:, along], (n // 2) / n))
+                left = part[:, along] < value
+                if not left.any() or left.all():
+                    value = float(part[:, along].mean())
+                    left = part[:, along] < value
+                self.splits.append([along, value, 0, 0])
+                cut = [np.where(np.arange(self.onto) == along, value, x) for x in (high, low)]
+                stack += [(part[~left], n - n // 2, cut[1], high, me, 3), (part[left], n // 2, low, cut[0], me, 2)]
+            if parent >= 0:
+                self.splits[parent][side] = me
+        self.low, self.high = (np.array(x) for x in zip(*boxes, strict=True))
+
+    def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at, points = np.zeros(len(x), np.int64) if self.splits else np.full(len(x), -1), self.of_rows(x)
+        table = np.array([s[1] for s in self.splits]), np.array([[s[0], s[2], s[3]] for s in self.splits], np.int64)
+        while (inner := np.flatnonzero(at >= 0)).size:
+            here = at[inner]
+            right = points[inner, table[1][here, 0]] >= table[0][here]
+            at[inner] = np.where(right, table[1][here, 2], table[1][here, 1])
+        return -1 - at, np.zeros(len(x))
+
+    def _goes_on(self, far: np.ndarray, length: np.ndarray, kth: np.ndarray) -> np.ndarray:
+        """Whether the stopping test fails at a squared projected distance."""
+        reach = np.maximum(length + self.longest**2 - 2 * kth, 1e-300)  # squared distance of the k-th
+        return ~(chi_square_cdf(np.where(np.isfinite(reach), far / reach, 0), self.onto) >= self.confidence)
+
+    def open_places(self, q: np.ndarray, kth: np.ndarray, widest: np.ndarray) -> np.ndarray:
+        open_ = np.zeros((len(q), len(widest)), bool)
+        open_[:, : len(self.low)] = self._goes_on(_outside(q @ self.pull[:-1], self.low, self.high), (q**2).sum(axis=1)[:, None], kth[:, None])
+        return open_
+
+    def tree(self, x: np.ndarray) -> KDTree:
+        return KDTree(self.of_rows(x))
+
+    def answer(self, tree: KDTree, ids, points, q_ids, queries, bounds, k: int) -> Best:
+        best, wanted, length = Best(q_ids, k, bounds), queries @ self.pull[:-1], (queries**2).sum(axis=1)
+        low, high = tree.told
+        slack = 1e-12 * (1 + float(np.sqrt(length.max(initial=0))) * self.longest)
+
+        def test(node, active):
+            far = _outside(wanted[active], low[node], high[node])[:, 0]
+            stay = self._goes_on(far, length[active], best.kth(active))
+            return stay, float(far[stay].min(initial=np.inf))
+
+        def leaf(at, active):  # a product's last bit hangs on the others in its block: scores are summed pair by pair
+            best.offer(active, ids[at], queries[active] @ points[at].T, lambda r, c: np.einsum("pd,pd->p", queries[r], points[at[c]]), slack)
+
+        best.passed = tree.descend(len(queries), test, leaf)
+        return best
 
 
 def nearest(table: DataFrame, queries: Column, k: int, onto: int = DIMENSIONS, confidence: float = CONFIDENCE, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The k nearest rows found for each row that `queries` (a condition on vec_id) names."""
     if onto < 2 or onto % 2:
         raise ValueError("the number of projected dimensions is even")
-    base = valid(table, vec_id, vector, nonzero=True)
-    longest = base.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()[0] or 0.0
-    cell = lambda ids, points, q_ids, wanted, bounds: ann_search(ids, points, q_ids, wanted, bounds, k, math.sqrt(longest), onto, confidence)
-    return search(base, queries, k, cell, "double")
+    base = Described(table, queries, vec_id, vector, nonzero=True)
+    return search(base, k, Projections(base.dimensions, base.longest, onto, confidence), "double")
 
 
 def op6_nearest(spark, sf_dir: str) -> DataFrame:

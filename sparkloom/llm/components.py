@@ -5,24 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import Workspace
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(work: Workspace, edges: DataFrame) -> DataFrame:
     """node and label (the smallest node reachable) of every node of `edges` (a, b: long).
 
     Each round takes the smallest label among a node and its neighbours, then the label of that
     label, so that paths shorten geometrically. Both steps are aggregations that combine before
-    they shuffle, and joins whose hot keys Spark can split; each round is a written table.
+    they shuffle, and joins whose hot keys Spark can split; each round is a table in `work`.
     """
     both = edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct()
-    both = written(both, "edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")), "labels")
+    both = work.written(both, "edges")
+    labels = work.written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         best = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = written(best.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
+        new = work.written(best.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
         changed = new.filter("label <> old").limit(1).count()
         labels = new.select("node", "label")
         if not changed:

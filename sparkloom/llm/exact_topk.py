@@ -1,100 +1,103 @@
 """Exact top-k search by inner product with ball trees.
 
-Each shard holds a ball tree. The best score that a query can reach in a ball is q.c + |q| r, so
-a block of queries descends branch and bound: the node with the largest upper bound first, and
-only with those queries whose bound is not below their current k-th score. The k-th score of a
-query's home shard travels with it to the other shards (`vectors`).
-
-Scores are integers: a component x counts as floor(scale * x). Vectors that are null, hold null or
-non-finite components, or have another dimension than most take no part; ties go to the smaller
-id; equal vectors are all candidates; an empty table gives an empty result; other columns are
-ignored. Of rows that share an id, each is a candidate, and none is one for a query of that id.
+Vectors go to the nearest of the centres that a bounded sample gives (`vectors`); each shard holds a
+ball tree. The best score that a query can reach in a ball is q.c + |q| r, so a block of queries
+descends branch and bound: the node with the largest upper bound first, and only with those queries
+whose bound is not below their current k-th score. The k-th score of a query's home shard travels
+with it, and it travels only to the places whose ball can beat that score.
+
+Scores are integers: a component x counts as floor(scale * x). Vectors that are null or empty or hold
+null or non-finite components take no part; vectors of several dimensions are an error; ties go to
+the smaller id; equal vectors are all candidates; an empty table gives an empty result; other columns
+are ignored. Of rows that share an id, each is a candidate, and none is one for a query of that id.
 """
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import Best, search, valid
+from .vectors import Best, Described, Tree, halved, search
+
+
+def _widest(part: np.ndarray) -> np.ndarray | None:
+    """Places along the line from the row farthest from the middle to the one farthest from that."""
+    far = ((part - part.mean(axis=0)) ** 2).sum(axis=1)
+    a = part[far.argmax()]
+    b = part[((part - a) ** 2).sum(axis=1).argmax()]
+    return part @ (b - a) if far.max() > 0 else None
+
+
+def _ball(part: np.ndarray) -> tuple[np.ndarray, float]:
+    center = part.mean(axis=0)
+    return center, float(np.sqrt(((part - center) ** 2).sum(axis=1).max(initial=0)))
+
+
+class BallTree(Tree):
+    def __init__(self, points: np.ndarray):
+        super().__init__(points, _ball, _widest)
+
+
+def _upper(reach: np.ndarray, length: np.ndarray, center: np.ndarray, radius) -> np.ndarray:
+    """The largest inner product in a ball, from that with its center; never too small by rounding."""
+    reach = reach + length * radius
+    return reach + 1e-9 * (np.abs(reach) + length * (radius + np.abs(center).max(axis=-1))) + 1e-6
+
+
+class Balls:
+    """Places by the nearest center; the largest distance to it bounds a place."""
+
+    def __init__(self, k: int, scale: float):
+        self.k, self.scale = k, scale
+
+    def prepared(self, x: np.ndarray) -> np.ndarray:
+        return np.floor(x.astype(np.float64) * self.scale)
+
+    def learn(self, sample: np.ndarray, places: int) -> None:
+        x = self.prepared(sample)
+        self.centers = np.array([x[rows].mean(axis=0) for rows in halved(x, places, 1, _widest)]) if len(x) else np.zeros((1, 1))
+
+    def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = self.prepared(x)
+        near = np.concatenate([((self.centers**2).sum(axis=1) - 2 * (x[i : i + 4096] @ self.centers.T)).argmin(axis=1) for i in range(0, len(x), 4096)])
+        return near, np.sqrt(((x - self.centers[near]) ** 2).sum(axis=1))
 
-LEAF = 64
+    def open_places(self, q: np.ndarray, kth: np.ndarray, widest: np.ndarray) -> np.ndarray:
+        length = np.sqrt((q**2).sum(axis=1))[:, None]
+        wide = widest[: len(self.centers)]
+        inside = np.where(np.isfinite(wide), wide, 0)
+        open_ = np.zeros((len(q), len(widest)), bool)
+        open_[:, : len(wide)] = _upper(q @ self.centers.T, length, self.centers, inside) >= kth[:, None]
+        return open_
 
+    tree = staticmethod(BallTree)
 
-class BallTree:
-    """Nodes in arrays; rows of a node are consecutive in `order`."""
+    def answer(self, tree: BallTree, ids, points, q_ids, queries, bounds, k: int) -> Best:
+        """The inputs hold whole numbers; products stay exact, in double precision as long as that holds them."""
+        top = np.abs(points).max(initial=0) * np.abs(queries).max(initial=0) * points.shape[1]
+        kind = np.float64 if top < 2**53 else np.int64
+        rows, wanted, best = points.astype(kind), queries.astype(kind), Best(q_ids, k, bounds, np.int64)
+        length = np.sqrt((queries**2).sum(axis=1))
+        centers, radii = tree.told
 
-    def __init__(self, points: np.ndarray, leaf: int = LEAF):
-        self.order = np.arange(len(points))
-        self.nodes: list[tuple[int, int, np.ndarray, float, int, int]] = []
-        self._build(points, 0, len(points), leaf)
+        def test(node, active):
+            reach = _upper(queries[active] @ centers[node], length[active], centers[node], radii[node])
+            stay = reach >= best.kth(active)
+            return stay, -float(reach[stay].max(initial=-np.inf))
 
-    def _build(self, points, start, end, leaf) -> int:
-        rows = self.order[start:end]
-        part = points[rows]
-        center = part.mean(axis=0)
-        radius = float(np.sqrt(((part - center) ** 2).sum(axis=1).max()))
-        at = len(self.nodes)
-        self.nodes.append((start, end, center, radius, -1, -1))
-        if end - start > leaf and radius > 0:
-            # from the row farthest from the center to the one farthest from that
-            a = part[((part - center) ** 2).sum(axis=1).argmax()]
-            b = part[((part - a) ** 2).sum(axis=1).argmax()]
-            half = (end - start) // 2
-            self.order[start:end] = rows[np.argpartition(part @ (b - a), half)]
-            left = self._build(points, start, start + half, leaf)
-            right = self._build(points, start + half, end, leaf)
-            self.nodes[at] = (start, end, center, radius, left, right)
-        return at
+        best.passed = tree.descend(len(queries), test, lambda at, active: best.offer(active, ids[at], (wanted[active] @ rows[at].T).astype(np.int64)))
+        return best
 
 
 def ball_search(ids: np.ndarray, points: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, bounds: np.ndarray, k: int):
-    """(query_id, vec_id, score) of each query's k best rows, its own id excluded. The inputs hold
-    whole numbers; products stay exact, in double precision as long as that holds them."""
-    top = np.abs(points).max(initial=0) * np.abs(queries).max(initial=0) * points.shape[1]
-    kind = np.float64 if top < 2**53 else np.int64
-    rows, wanted = points.astype(kind), queries.astype(kind)
-    tree, best = BallTree(points), Best(len(queries), k, np.iinfo(np.int64).min + 1, bounds, np.int64)
-    length = np.sqrt((queries**2).sum(axis=1))
-
-    def upper(node, active):
-        _, _, center, radius, _, _ = tree.nodes[node]
-        reach = queries[active] @ center + length[active] * radius
-        return reach + 1e-9 * (np.abs(reach) + length[active] * (radius + np.abs(center).max())) + 1e-6
-
-    everyone = np.arange(len(queries))
-    heap = [(0.0, 0, everyone, np.full(len(queries), np.inf))]
-    while heap:
-        _, node, active, reach = heapq.heappop(heap)
-        stay = reach >= best.kth(active)
-        active = active[stay]
-        if not len(active):
-            continue
-        start, end, _, _, left, right = tree.nodes[node]
-        if left < 0:
-            for at in range(start, end, LEAF):  # equal rows can fill a larger leaf
-                part = tree.order[at : min(end, at + LEAF)]
-                score = (wanted[active] @ rows[part].T).astype(np.int64)
-                who = np.broadcast_to(ids[part], score.shape)
-                own = who == query_ids[active][:, None]
-                best.offer(active, np.where(own, np.iinfo(np.int64).max, who), np.where(own, best.worst, score))
-            continue
-        for child in (left, right):
-            reach = upper(child, active)
-            may = reach >= best.kth(active)
-            if may.any():
-                heapq.heappush(heap, (-float(reach[may].max()), child, active[may], reach[may]))
-    return best.found(query_ids)
+    """(query_id, vec_id, score) of each query's k best rows, its own id excluded; whole numbers."""
+    return Balls(k, 1.0).answer(BallTree(points), ids, points, query_ids, queries, bounds, k).found(query_ids)
 
 
 def exact_topk(table: DataFrame, queries: Column, k: int, scale: float = 256.0, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The k best rows for each row that `queries` (a condition on vec_id) names."""
-    base = valid(table, vec_id, vector, nonzero=False)
-    base = base.withColumn("v", F.transform("v", lambda x: F.floor(x * scale).cast("double")))
-    return search(base, queries, k, lambda ids, points, q_ids, wanted, bounds: ball_search(ids, points, q_ids, wanted, bounds, k), "long")
+    return search(Described(table, queries, vec_id, vector, nonzero=False), k, Balls(k, scale), "long")
 
 
 def op4_exact_topk(spark, sf_dir: str) -> DataFrame:

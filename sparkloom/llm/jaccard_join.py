@@ -1,32 +1,34 @@
 """Exact similarity self-join of documents under the Jaccard distance, a metric.
 
 A document is the set of its `width`-word shingles. Two documents link when their similarity is
-`threshold` or more, that is, when their distance is eps = 1 - threshold or less.
-
-1. Sets. Equal sets are one node, known by a digest of the set.
-2. Candidates. Of any order of all shingles, a node's first n - ceil(threshold n) + L must hold L
-   of any partner's. In the order of hashes, nodes whose first shingles hardly occur elsewhere
-   are settled at once. Among the rest, shingles are counted, and in the order from rare to
-   frequent a node's first n - ceil(threshold n) + 1 shingles are its anchors: partners share one.
-3. Regions. Nodes that anchors connect form a region; it goes to one task if it holds no more than
-   `room` shingles. Larger ones are taken apart: into the regions of single anchors (regions with
-   the same nodes are one), and what is still larger by pivots, in rounds of the whole cluster.
-4. Metric join, within a task and in those rounds alike. Pivots of a region get their exact
-   distances to its nodes; nodes within eps link to them. A node within 2 eps of its nearest pivot
-   is at home there and has all its partners within 3 eps of it; the pivot's Voronoi region holds
-   those at home, and as guests the boundary nodes of later pivots and the remote nodes that the
-   windows d <= 3 eps and d <= d(home) + 2 eps let in. Nodes beyond 2 eps of every pivot form the
-   remote region. Where this would replicate more than it divides (all nodes lie close to all
-   pivots), the region stays whole. Nodes already connected need no comparison: a region is done
-   when it holds one component, and nodes of its largest component stay only if, seen from every
-   pivot, another component comes within eps of their distance (the triangle inequality). Pivots
-   leave, as all their pairs are known, so the recursion ends, and no pair is lost.
+`threshold` or more, that is, when their distance is eps = 1 - threshold or less. Every link is
+found: each document learns with how many others it links, and the smallest id that links reach.
+
+1. Sets. Equal sets are one node, known by a digest of the set, with the number of its documents.
+2. Candidates. Distances between unrelated documents are all close to 1, where no pivot tells them
+   apart. Of any order of all shingles, a node's first n - ceil(threshold n) + L must hold L of any
+   partner's. In the order of hashes, nodes whose first shingles hardly occur elsewhere are settled at
+   once. Among the rest, shingles are counted, and in the order from rare to frequent a node's first
+   n - ceil(threshold n) + 1 shingles are its anchors: partners share one. Nodes that anchors connect
+   are a space of their own, in which distances differ.
+3. Voronoi regions. Pivots of a region get their exact distances to all its members. A node within
+   2 eps of its nearest pivot is at home there; the others form the remote region. All partners of a
+   node at home at P lie within r + eps of P, r being the largest distance of a node at home, and within
+   2 eps of their own least distance: these two windows of the triangle inequality say which boundary
+   nodes visit the region. A remote node's partners lie beyond eps of every pivot. Links are counted at
+   home, so that no pair counts twice. Pivots leave, as all their pairs are known, and regions are
+   divided again, recursively and exactly: in rounds of the whole cluster while a region holds more than
+   `room` shingles, in the memory of a task below that.
+4. Where division no longer tells nodes apart, those at home meet the members in cells: blocks that hold
+   no more than `room` shingles and about PAIRS pairs, so that one region is shared by many tasks. There
+   distances to the pivots settle most pairs (d(x,p) + d(p,y) <= eps: a link; |d(x,p) - d(p,y)| > eps:
+   none), and the rest are compared.
 
 Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z; a text of fewer than `width` words has
 one shingle, the whole sequence; a text without words (or null) has none and links with nothing.
-Equal rows are equal sets; very long texts are large sets; rows without an id take part, and don't
-count as smallest id; an empty table gives an empty result; other columns are ignored. Shingles and
-sets are compared by 64-bit hashes.
+Equal rows are equal sets and link; very long texts are large sets, taken whole; rows without an id
+take part and are counted, and don't count as smallest id; an empty table gives an empty result; other
+columns are ignored. Shingles and sets are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -36,23 +38,25 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import Spans, words_of
-from .chunks import Answered, Chunk, answers, chunked, informed, mapped
+from .chunks import Answered, Chunk, answers, chunked, mapped, shards_for
 from .components import components
-from .scratch import partitions, workspace, written
+from .repeats import by_shard
+from .scratch import Workspace, unused, workspace
 
 WIDTH, PERCENT = 5, 80
 #: L of the first filter as a share of a node's shingles.
 _DEPTH = 0.1
-#: Shingles of a region that one task joins.
-ROOM = 2_000_000
-#: Pivots of a region in a round of the whole cluster, at most.
-PIVOTS = 64
+#: Shingles that a task holds of a region, and pairs that a cell looks at.
+ROOM, PAIRS = 2_000_000, 4_000_000
+#: Pivots of a region in a round of the whole cluster, at most, and in a task; parts that rows meeting pivots are dealt to.
+PIVOTS, FEW, SALT = 64, 8, 16
 _SLACK = 1e-9
-_SETS = "chunk long, nodes binary, sizes binary, shingles binary"
+_SETS = "chunk long, bundle long, nodes binary, sizes binary, shingles binary"
 
 
 def shingle_sets(chunk: Chunk, width: int) -> list[np.ndarray]:
@@ -85,8 +89,8 @@ def _depth(n):
 class _Sets(Answered):
     """Distinct sets of a chunk: nodes, sizes, and all shingles one after another."""
 
-    def __init__(self, row: dict):
-        super().__init__(row)
+    def __init__(self, row: dict, answers=None):
+        super().__init__(row, answers)
         self.nodes = np.frombuffer(row["nodes"], np.int64)
         self.sizes = np.frombuffer(row["sizes"], np.int64)
         self.shingles = np.frombuffer(row["shingles"], np.uint64)
@@ -107,20 +111,15 @@ def _distinct(sets: list[np.ndarray]) -> tuple[list[int], np.ndarray]:
 
 def _by_shard(owner: np.ndarray, tokens: np.ndarray, shards: int):
     """For each shard: places of its tokens, in order, and the owners and numbers of each run."""
-    shard = ((tokens >> np.uint64(32)) & np.uint64(0xFFFF)) % np.uint64(shards)
-    order = np.argsort(shard.astype(np.uint16), kind="stable")
-    at = np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.uint64))
-    for s in range(shards):
-        places = order[at[s] : at[s + 1]]
-        if len(places):
-            head = np.flatnonzero(np.diff(owner[places], prepend=-1))
-            yield s, places, owner[places[head]], np.diff(np.append(head, len(places)))
+    for s, places in by_shard(tokens, shards):
+        head = np.flatnonzero(np.diff(owner[places], prepend=-1))
+        yield s, places, owner[places[head]], np.diff(np.append(head, len(places)))
 
 
 def _ask(nodes: np.ndarray, owner: np.ndarray, tokens: np.ndarray, shards: int):
-    """Nodes, their numbers of tokens, and 32 bits of each token (others choose the shard)."""
+    """Nodes, their numbers of tokens, and the tokens."""
     for s, places, who, sizes in _by_shard(owner, tokens, shards):
-        yield s, np.int64(len(who)).tobytes() + nodes[who].tobytes() + sizes.astype(np.int32).tobytes() + tokens[places].astype(np.uint32).tobytes()
+        yield s, np.int64(len(who)).tobytes() + nodes[who].tobytes() + sizes.astype(np.int32).tobytes() + tokens[places].tobytes()
 
 
 def _counted(asked: list[bytes]):
@@ -128,7 +127,7 @@ def _counted(asked: list[bytes]):
     heads = [int(np.frombuffer(x, np.int64, 1)[0]) for x in asked]
     sizes = [np.frombuffer(x, np.int32, n, 8 + 8 * n) for x, n in zip(asked, heads, strict=True)]
     node = np.concatenate([np.repeat(np.frombuffer(x, np.int64, n, 8), z) for x, n, z in zip(asked, heads, sizes, strict=True)])
-    token = np.concatenate([np.frombuffer(x, np.uint32, -1, 8 + 12 * n) for x, n in zip(asked, heads, strict=True)])
+    token = np.concatenate([np.frombuffer(x[8 + 12 * n :], np.uint64) for x, n in zip(asked, heads, strict=True)])
     order = np.lexsort((node, token))
     t, d = token[order], node[order]
     new_t = np.ones(len(t), bool)
@@ -162,7 +161,7 @@ def _first_tokens(sets: list[np.ndarray], percent: int):
     return np.repeat(np.arange(len(sets)), take), np.concatenate([s[:k] for s, k in zip(sets, take.tolist(), strict=True)]) if sets else np.zeros(0, np.uint64)
 
 
-def _candidates(chunks: DataFrame, width: int, percent: int, shards: int) -> DataFrame:
+def _candidates(work: Workspace, chunks: DataFrame, width: int, percent: int, shards: int) -> DataFrame:
     """Rows of _Sets: the nodes that the first filter leaves."""
 
     def ask(chunk, n):
@@ -182,13 +181,13 @@ def _candidates(chunks: DataFrame, width: int, percent: int, shards: int) -> Dat
         sizes = np.array([len(s) for s in own], np.int64)
         keep = np.flatnonzero(shared >= _depth(least_overlap(sizes, percent)))
         raw = b"".join(own[i].tobytes() for i in keep)
-        return pa.RecordBatch.from_arrays([pa.array([chunk.id]), *(pa.array([x], pa.binary()) for x in (nodes[rows][keep].tobytes(), sizes[keep].tobytes(), raw))], ["chunk", "nodes", "sizes", "shingles"])
+        return pa.RecordBatch.from_arrays([pa.array([chunk.id]), pa.array([chunk.bundle]), *(pa.array([x], pa.binary()) for x in (nodes[rows][keep].tobytes(), sizes[keep].tobytes(), raw))], ["chunk", "bundle", "nodes", "sizes", "shingles"])
 
-    told = answers(chunks, ask, _answer_shared, shards)
-    return written(mapped(informed(chunks, told), left, _SETS), "candidates")
+    told = answers(work, chunks, ask, _answer_shared, shards)
+    return work.written(mapped(chunks, left, _SETS, [told]), "candidates")
 
 
-def _anchored(candidates: DataFrame, percent: int, shards: int) -> DataFrame:
+def _anchored(work: Workspace, candidates: DataFrame, percent: int, shards: int) -> DataFrame:
     """node, n, shingles, anchors of the nodes that share an anchor with another."""
 
     def ask(sets, n):
@@ -216,210 +215,280 @@ def _anchored(candidates: DataFrame, percent: int, shards: int) -> DataFrame:
             ["node", "n", "shingles", "anchors"],
         )
 
-    told = answers(candidates, ask, _answer_frequency, shards, kind=_Sets)
-    found = mapped(informed(candidates, told), anchors, "node long, n long, shingles array<long>, anchors array<long>", _Sets)
-    return written(found.dropDuplicates(["node"]), "anchored")
+    told = answers(work, candidates, ask, _answer_frequency, shards, kind=_Sets)
+    found = mapped(candidates, anchors, "node long, n long, shingles array<long>, anchors array<long>", [told], _Sets)
+    return work.written(found.dropDuplicates(["node"]), "anchored")
 
 
-def _signed(members: DataFrame) -> DataFrame:
-    """`members` without the regions that hold the same nodes as another, or a single one."""
-    sums = members.groupBy("region").agg(
-        F.count("*").alias("size"), F.sum(F.shiftright(F.xxhash64("node"), 20)).alias("one"), F.sum(F.shiftright(F.xxhash64("node", F.lit(1)), 20)).alias("two")
-    )
-    named = sums.filter("size > 1").groupBy("size", "one", "two").agg(F.min("region").alias("region"))
-    return members.join(named.select("region"), "region", "left_semi")
+class Region:
+    """The metric join of sets in memory: links of those at home with the members."""
 
-
-def regions(anchored: DataFrame) -> DataFrame:
-    """region, node: the nodes that share an anchor; one region for each set of nodes."""
-    return _signed(anchored.select(F.explode("anchors").alias("region"), "node"))
-
-
-def distances(anchored: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """a, b, link, d of pairs of nodes: exact, by the sizes of the sets and of what they share."""
-    one = anchored.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("s_a"))
-    two = anchored.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("s_b"))
-    met = pairs.join(one, "a").join(two, "b").select("a", "b", (F.col("n_a") + F.col("n_b")).alias("both"), F.size(F.array_intersect("s_a", "s_b")).cast("long").alias("common"))
-    union = F.col("both") - F.col("common")
-    return met.select("a", "b", (F.col("common") * 100 >= union * percent).alias("link"), (1 - F.col("common") / union).alias("d"))
-
-
-class _Region:
-    """The metric join of a region in memory."""
-
-    def __init__(self, sets: list[np.ndarray], percent: int):
+    def __init__(self, sets: list[np.ndarray], percent: int, weights: np.ndarray | None = None):
         self.sizes = np.array([len(s) for s in sets], np.int64)
-        self.percent, self.eps = percent, 1 - percent / 100 + _SLACK
+        self.percent, self.eps = percent, 1 - percent / 100
         _, token = np.unique(np.concatenate(sets), return_inverse=True)
-        self.tokens = np.split(token, np.cumsum(self.sizes)[:-1])
+        self.begin = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.token = token
         order = np.argsort(token, kind="stable")
         self.holders = np.repeat(np.arange(len(sets)), self.sizes)[order]
         self.at = np.concatenate([[0], np.cumsum(np.bincount(token))])
-        self.label = np.arange(len(sets))
-
-    def distances(self, pivot: int) -> tuple[np.ndarray, np.ndarray]:
-        """To all nodes; and which of them link."""
-        starts, sizes = self.at[self.tokens[pivot]], np.diff(self.at)[self.tokens[pivot]]
-        places = np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
-        common = np.bincount(self.holders[places], minlength=len(self.sizes))
-        union = self.sizes + self.sizes[pivot] - common
+        self.mark = np.zeros(len(self.at) - 1, bool)
+        self.weights = np.ones(len(sets), np.int64) if weights is None else weights
+        self.label, self.links = np.arange(len(sets)), np.zeros(len(sets), np.int64)
+        #: pairs that regions and their windows kept apart, that bounds settled, that were compared
+        self.apart = self.bounded = self.compared = 0
+
+    def common(self, x: int, others: np.ndarray) -> np.ndarray:
+        """How many shingles x shares with each of the others."""
+        mine = self.token[self.begin[x] : self.begin[x + 1]]
+        starts, n = self.at[mine], self.at[mine + 1] - self.at[mine]
+        sizes = self.sizes[others]
+        if n.sum() <= sizes.sum():
+            places = np.arange(int(n.sum())) + np.repeat(starts - (np.cumsum(n) - n), n)
+            return np.bincount(self.holders[places], minlength=len(self.sizes))[others]
+        self.mark[mine] = True
+        begin = np.cumsum(sizes) - sizes
+        held = self.mark[self.token[np.arange(int(sizes.sum())) + np.repeat(self.begin[others] - begin, sizes)]]
+        self.mark[mine] = False
+        return np.add.reduceat(held.astype(np.int64), begin)
+
+    def distances(self, x: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """From x to each of the others; and which of them link."""
+        common = self.common(x, others)
+        union = self.sizes[others] + self.sizes[x] - common
         return 1 - common / union, common * 100 >= union * self.percent
 
-    def joined(self, pivots: int = 8) -> np.ndarray:
-        """The label of each node: equal for connected nodes."""
-        stack = [np.arange(len(self.sizes))]
+    def _met(self, x: int, partners: np.ndarray) -> None:
+        if len(partners):
+            labels = np.unique(self.label[np.append(partners, x)])
+            if len(labels) > 1:
+                self.label[np.isin(self.label, labels)] = labels[0]
+
+    def join(self, homes: np.ndarray | None = None, members: np.ndarray | None = None) -> Region:
+        every = np.arange(len(self.sizes))
+        stack = [(every if homes is None else homes, every if members is None else members)]
         while stack:
-            rows = stack.pop()
-            names, which, n = np.unique(self.label[rows], return_inverse=True, return_counts=True)
-            if len(names) < 2:
+            homes, members = stack.pop()
+            if not len(homes) or not len(members):
                 continue
-            outside = rows[which != n.argmax()]
-            chosen = outside[:pivots]
-            d = np.empty((len(chosen), len(rows)))
-            for i, p in enumerate(chosen):
-                every, links = self.distances(p)
-                d[i] = every[rows]
-                mine = rows[links[rows]]
-                if len(mine) > 1:
-                    met = np.unique(self.label[mine])
-                    if len(met) > 1:
-                        self.label[np.isin(self.label, met)] = met[0]
-            stay = ~np.isin(rows, chosen)
-            rows, d = rows[stay], d[:, stay]
-            if len(rows):
-                stack += [self._within(rows[part], d[:, part]) for part in self._parts(d)]
-        return self.label
-
-    def _parts(self, d: np.ndarray) -> list[np.ndarray]:
-        home, least = d.argmin(axis=0), d.min(axis=0)
-        remote = least > 2 * self.eps
-        parts = [np.flatnonzero(remote)] if remote.any() else []
+            pivots = self._pivots(homes)
+            d = np.empty((len(pivots), len(members)))
+            at_home, leaves = np.zeros(len(self.sizes), bool), np.isin(members, pivots)
+            at_home[homes] = True
+            for i, p in enumerate(pivots):
+                d[i], link = self.distances(p, members)
+                self.compared += len(members)
+                link &= members != p
+                partners = members[link]
+                self.links[p] += self.weights[partners].sum()
+                # a pivot of another's member list: those at home that are no pivots count it now, as it leaves
+                if leaves.any() and (members == p).any():
+                    other = members[link & ~leaves]
+                    self.links[other[at_home[other]]] += self.weights[p]
+                self._met(p, partners)
+            homes, members, d = np.setdiff1d(homes, pivots, assume_unique=True), members[~leaves], d[:, ~leaves]
+            if not len(homes) or not len(members):
+                continue
+            parts = self._parts(homes, members, d)
+            size = sum(len(h) * len(m) for h, m in parts)
+            if len(homes) * len(members) > 64 and size <= 0.7 * len(homes) * len(members):
+                self.apart += len(homes) * len(members) - size
+                stack += parts
+            else:
+                self._compare(homes, members, d, pivots)
+        return self
+
+    def _pivots(self, homes: np.ndarray) -> np.ndarray:
+        """Up to FEW of those at home, each the farthest from those before it."""
+        if len(homes) <= FEW:
+            return homes
+        chosen, least = [int(homes[0])], np.full(len(homes), np.inf)
+        while len(chosen) < FEW:
+            least = np.minimum(least, self.distances(chosen[-1], homes)[0])
+            chosen.append(int(homes[least.argmax()]))
+            if least.max() <= self.eps / 2:
+                break
+        return np.unique(chosen)
+
+    def _parts(self, homes, members, d) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Homes and members of each pivot's region, and of the remote one."""
+        place = np.full(len(self.sizes), -1)
+        place[members] = np.arange(len(members))
+        if (place[homes] < 0).any():  # homes of a cell whose members are others
+            return [(homes, members)]
+        mine, least = d[:, place[homes]], d.min(axis=0)
+        home, near = mine.argmin(axis=0), mine.min(axis=0)
+        remote = near > 2 * self.eps + _SLACK
+        parts = [(homes[remote], members[least > self.eps - _SLACK])]
         for p in range(len(d)):
-            guest = (d[p] <= 3 * self.eps) & (remote | ((d[p] <= least + 2 * self.eps) & (home > p)))
-            parts.append(np.flatnonzero((~remote & (home == p)) | guest))
-        if sum(map(len, parts)) > 1.5 * d.shape[1]:
-            return [np.arange(d.shape[1])]
-        return [part for part in parts if len(part) > 1]
-
-    def _within(self, rows: np.ndarray, d: np.ndarray) -> np.ndarray:
-        """`rows` without those of the largest component that no other component can reach."""
-        names, which, n = np.unique(self.label[rows], return_inverse=True, return_counts=True)
-        other = which != n.argmax()
-        if not other.any():
-            return rows[:0]
-        low, high = d[:, other].min(axis=1), d[:, other].max(axis=1)
-        return rows[other | ((d + self.eps >= low[:, None]) & (d - self.eps <= high[:, None])).all(axis=0)]
+            here = ~remote & (home == p)
+            if here.any():
+                visit = (d[p] <= near[here].max() + self.eps + _SLACK) & (d[p] <= least + 2 * self.eps + _SLACK)
+                parts.append((homes[here], members[visit]))
+        return [(h, m) for h, m in parts if len(h) and len(m)]
+
+    def _compare(self, homes, members, d, pivots) -> None:
+        """Each of the homes with all members, but for the pairs that the pivots settle."""
+        place = np.full(len(self.sizes), -1)
+        place[members] = np.arange(len(members))
+        for x in homes.tolist():
+            mine = d[:, [place[x]]] if place[x] >= 0 else np.array([[self.distances(int(p), np.array([x]))[0][0]] for p in pivots])
+            link = (d + mine).min(axis=0, initial=np.inf) <= self.eps - _SLACK
+            open_ = ~link & (np.abs(d - mine).max(axis=0, initial=0) <= self.eps + _SLACK)
+            rows = np.flatnonzero(open_)
+            self.compared += len(rows)
+            self.bounded += len(members) - len(rows)
+            if len(rows):
+                link[rows] = self.distances(x, members[rows])[1]
+            if place[x] >= 0:
+                link[place[x]] = False
+            partners = members[link]
+            self.links[x] += self.weights[partners].sum()
+            self._met(x, partners)
 
 
-def _joined_in_tasks(anchored: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """a, b: links that connect what is connected within each region (region, node)."""
+def _joined_in_cells(anchored: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
+    """node, label, links of those at home in each cell (cell, node, home, member); labels connect what links."""
 
     def run(table):
-        nodes = table.column("node").to_numpy()
-        sets = [x.values.to_numpy() for x in table.column("shingles").combine_chunks()]
-        label = nodes[_Region(sets, percent).joined()]
-        far = label != nodes
-        return pa.table({"a": nodes[far], "b": label[far]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
-
-    return members.join(anchored.select("node", "shingles"), "node").groupBy("region").applyInArrow(run, "a long, b long")
-
-
-def metric_links(anchored: DataFrame, percent: int, room: int = ROOM) -> DataFrame:
-    """node, label: the components of all links among the anchored nodes."""
-    spread = anchored.select("node", "n", F.explode("anchors").alias("anchor"))
+        nodes, weights = table.column("node").to_numpy(), table.column("weight").to_numpy()
+        home, member = (table.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("home", "member"))
+        region = Region([x.values.to_numpy() for x in table.column("shingles").combine_chunks()], percent, weights).join(np.flatnonzero(home), np.flatnonzero(member))
+        label = nodes[region.label]
+        rows = home | (label != nodes)
+        return pa.table({"node": nodes[rows], "label": label[rows], "links": np.where(home, region.links, 0)[rows]}, schema=pa.schema([("node", pa.int64()), ("label", pa.int64()), ("links", pa.int64())]))
+
+    return cells.join(anchored.select("node", "shingles", "weight"), "node").groupBy("cell").applyInArrow(run, "node long, label long, links long")
+
+
+def _cells(members: DataFrame, sized: DataFrame, room: int) -> DataFrame:
+    """cell, node, home, member: blocks of those at home by blocks of members."""
+    across = F.greatest(F.lit(1), F.ceil(2 * F.col("shingles") / room)).cast("int")
+    across = F.when(F.col("shingles") <= room, 1).otherwise(across)
+    down = F.greatest(across, F.ceil(F.col("homes") * F.col("size") / across / PAIRS).cast("int"))
+    rows = members.join(sized.select("region", down.alias("down"), across.alias("across")), "region")
+    draw = F.xxhash64("node", F.lit(7))
+    mine, theirs = F.pmod(draw, F.col("down")).cast("int"), F.pmod(draw, F.col("across")).cast("int")
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    as_home = F.when(F.col("home"), F.transform(every(F.col("across")), lambda j: F.struct(F.col("region"), mine.alias("i"), j.alias("j"))))
+    as_member = F.transform(every(F.col("down")), lambda i: F.struct(F.col("region"), i.alias("i"), theirs.alias("j")))
+    at = F.array_distinct(F.concat(F.coalesce(as_home, F.array().cast("array<struct<region:bigint,i:int,j:int>>")), as_member))
+    rows = rows.select("node", "home", F.explode(at).alias("cell"), mine.alias("mine"), theirs.alias("theirs"))
+    return rows.select("cell", "node", (F.col("home") & (F.col("cell.i") == F.col("mine"))).alias("home"), (F.col("cell.j") == F.col("theirs")).alias("member"))
+
+
+def _sized(members: DataFrame, anchored: DataFrame) -> DataFrame:
+    """region, size, homes, shingles."""
+    return members.join(anchored.select("node", "n"), "node").groupBy("region").agg(F.count("*").alias("size"), F.count_if("home").alias("homes"), F.sum("n").alias("shingles"))
+
+
+def metric_links(work: Workspace, anchored: DataFrame, percent: int, room: int = ROOM) -> tuple[DataFrame, DataFrame]:
+    """node, label: the components of all links among the anchored nodes (node, n, weight, shingles,
+    anchors); and node, links: the documents that each links with, but for those of its own set."""
+    spread = anchored.select("node", F.explode("anchors").alias("anchor"))
     least = spread.groupBy("anchor").agg(F.min("node").alias("least"))
     touching = spread.join(least, "anchor").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
-    nodes = anchored.select("node", "n").join(components(touching), "node", "left").withColumn("region", F.coalesce("label", "node"))
-    large = nodes.groupBy("region").agg(F.sum("n").alias("shingles")).filter(F.col("shingles") > room).select("region")
-    small = [written(nodes.join(large, "region", "left_anti").select("region", "node"), "regions")]
-    apart = anchored.join(nodes.join(large, "region", "left_semi").select("node"), "node", "left_semi")
-    members = written(regions(apart).select("region", "node", F.lit(True).alias("may_lead")), "members")
-    links, labels, wanted = [], None, 4
+    members = components(work, touching).select(F.col("label").alias("region"), "node", F.lit(True).alias("home"))
+    found, ready, wanted = [], [], 4
     while True:
-        sized = members.join(anchored.select("node", "n"), "node")
-        large = sized.groupBy("region").agg(F.sum("n").alias("shingles")).filter(F.col("shingles") > room).select("region")
-        small.append(members.join(large, "region", "left_anti").select("region", "node"))
-        members = written(members.join(large, "region", "left_semi"), "members")
-        n = members.count()
-        if not n:
+        members = work.written(members, "members")
+        sized = work.written(_sized(members, anchored), "regions")
+        large = sized.filter(F.col("shingles") > room)
+        ready.append(_cells(members, sized.filter(F.col("shingles") <= room), room))
+        if not large.limit(1).count():
             break
-        at, new, labels = _round(anchored, members, labels, percent, wanted)
-        links.append(new)
-        members = written(_signed(_divided(at, labels, 1 - percent / 100 + _SLACK)), "members")
+        met = _met(work, anchored, members.join(large.select("region"), "region", "left_semi"), percent, wanted)
+        divided = work.written(_divided(met, 1 - percent / 100), "divided")
+        after = _sized(divided, anchored).withColumn("pairs", F.col("homes") * F.col("size")).join(divided.select("region", "parent").distinct(), "region").groupBy("parent").agg(F.sum("pairs").alias("pairs"))
+        good = large.join(after, large["region"] == after["parent"], "left").filter(F.coalesce("pairs", F.lit(0)) <= 0.7 * F.col("homes") * F.col("size")).select("region")
+        good = work.written(good, "good")
+        found.append(work.written(_pivot_links(met.join(good, "region", "left_semi")), "links"))
+        whole = large.join(good, "region", "left_anti")
+        ready.append(_cells(members.join(whole.select("region"), "region", "left_semi"), whole, room))
+        members = divided.join(good.withColumnRenamed("region", "parent"), "parent", "left_semi").select("region", "node", "home")
         wanted = min(2 * wanted, PIVOTS)
-    links.append(written(_joined_in_tasks(anchored, reduce(DataFrame.union, small), percent), "links"))
-    return components(reduce(DataFrame.union, links))
+    found.append(work.written(_joined_in_cells(anchored, reduce(DataFrame.union, ready), percent), "links"))
+    every = reduce(DataFrame.unionByName, found)
+    labels = components(work, every.filter("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")))
+    return labels, every.groupBy("node").agg(F.sum("links").alias("links"))
 
 
-def _round(anchored, members, labels, percent: int, wanted: int):
-    """Distances of the members of large regions to `wanted` pivots of each, the links among them,
-    and the components so far."""
-    # pivots: the smallest of each class of hashes, from outside the region's largest component
+def _met(work: Workspace, anchored: DataFrame, members: DataFrame, percent: int, wanted: int) -> DataFrame:
+    """region, node, home, weight, pivot, p_weight, link, d: the members of large regions and up to
+    `wanted` pivots of each. Pivots are few: their sets go to the members, which are dealt by a salt."""
+    # pivots: of those at home the smallest of each class of hashes
     draw = F.xxhash64("node", F.lit(wanted))
-    chosen = members.filter("may_lead").groupBy("region", F.pmod(draw, F.lit(wanted)).alias("class")).agg(F.min(F.struct(draw.alias("draw"), "node")).alias("p"))
-    met = written(members.select("region", "node").join(chosen.select("region", F.col("p.node").alias("pivot")), "region"), "met")
-    pairs = met.filter("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    known = written(distances(anchored, pairs, percent), "distances")
-    links = known.filter("link").select("a", "b")
-    labels = components(links if labels is None else links.union(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
-    at = met.withColumn("a", F.least("node", "pivot")).withColumn("b", F.greatest("node", "pivot")).join(known.select("a", "b", "d"), ["a", "b"], "left")
-    return written(at.select("region", "node", "pivot", F.coalesce("d", F.lit(0.0)).alias("d")), "placed"), links, labels
-
-
-def _divided(at: DataFrame, labels: DataFrame, eps: float) -> DataFrame:
-    """region, node, may_lead of the next round, from distances to the pivots of this one."""
-    home = at.groupBy("region", "node").agg(F.min(F.struct("d", "pivot")).alias("home"))
-    home = home.select("region", "node", F.col("home.d").alias("home_d"), F.col("home.pivot").alias("home"))
-    rest = at.join(home, ["region", "node"]).filter("home_d > 0")  # pivots leave; no other node is at distance 0
-    remote = F.col("home_d") > 2 * eps
-    inside = ~remote & (F.col("home") == F.col("pivot"))
-    guest = (F.col("d") <= 3 * eps) & (remote | ((F.col("d") <= F.col("home_d") + 2 * eps) & (F.col("home") > F.col("pivot"))))
-    rest = rest.withColumn("enters", inside | guest)
-    size = rest.groupBy("region").agg(
-        F.sum(F.col("enters").cast("long")).alias("copies"), F.count_if(remote & (F.col("home") == F.col("pivot"))).alias("remote"), F.count_if(F.col("home") == F.col("pivot")).alias("whole")
-    )
-    split = size.select("region", (F.col("copies") + F.col("remote") <= 1.5 * F.col("whole")).alias("split"))
-    rest = rest.join(split, "region")
-    place = F.when(~F.col("split"), F.array(F.col("region"))).otherwise(
-        F.array_compact(F.array(F.when(F.col("enters"), F.xxhash64("region", "pivot")), F.when(remote, F.xxhash64("region", F.lit(-1)))))
-    )
-    # one row for each region, node and pivot that speaks about it
-    rest = rest.select(F.explode(place).alias("region"), "node", "pivot", "d")
-    rest = rest.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    counts = rest.groupBy("region", "label").agg(F.count("*").alias("n")).groupBy("region").agg(F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("labels"))
-    rest = rest.join(counts.filter("labels > 1").select("region", F.col("most.label").alias("main")), "region").withColumn("other", F.col("label") != F.col("main"))
-    window = rest.filter("other").groupBy("region", "pivot").agg(F.min("d").alias("low"), F.max("d").alias("high"))
-    rest = rest.join(window, ["region", "pivot"], "left")
-    reach = F.col("other") | ((F.col("d") + eps >= F.col("low")) & (F.col("d") - eps <= F.col("high")))
-    return rest.groupBy("region", "node").agg(F.bool_and(F.coalesce(reach, F.lit(False))).alias("stays"), F.bool_or("other").alias("may_lead")).filter("stays").select("region", "node", "may_lead")
+    chosen = members.filter("home").groupBy("region", F.pmod(draw, F.lit(wanted)).alias("class")).agg(F.min(F.struct(draw.alias("draw"), "node")).alias("p")).select("region", F.col("p.node").alias("node"))
+    about = anchored.select("node", "n", "weight", "shingles")
+    pivots = chosen.join(about, "node").select("region", F.col("node").alias("pivot"), F.col("n").alias("p_n"), F.col("weight").alias("p_weight"), F.col("shingles").alias("p_shingles"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    rows = members.join(about, "node").withColumn("salt", F.pmod(F.xxhash64("node", F.lit(3)), F.lit(SALT)).cast("int"))
+    common = F.size(F.array_intersect("shingles", "p_shingles")).cast("long")
+    met = rows.join(pivots, ["region", "salt"]).select("region", "node", "home", "weight", "pivot", "p_weight", (F.col("n") + F.col("p_n")).alias("both"), common.alias("common"))
+    union = F.col("both") - F.col("common")
+    return work.written(met.select("region", "node", "home", "weight", "pivot", "p_weight", (F.col("common") * 100 >= union * percent).alias("link"), (1 - F.col("common") / union).alias("d")), "met")
+
+
+def _pivot_links(met: DataFrame) -> DataFrame:
+    """node, label, links: all links of pivots, and those of others at home with pivots."""
+    pairs = met.filter(F.col("link") & (F.col("node") != F.col("pivot")))
+    own = pairs.groupBy("region", F.col("pivot").alias("node")).agg(F.min("node").alias("label"), F.sum("weight").alias("links"))
+    leaders = met.select("region", F.col("pivot").alias("node")).distinct()
+    others = pairs.filter("home").join(leaders, ["region", "node"], "left_anti").groupBy("region", "node").agg(F.min("pivot").alias("label"), F.sum("p_weight").alias("links"))
+    edges = pairs.select("node", F.col("pivot").alias("label"), F.lit(0).cast("long").alias("links"))
+    return own.unionByName(others).select("node", "label", "links").unionByName(edges)
+
+
+def _divided(met: DataFrame, eps: float) -> DataFrame:
+    """parent, region, node, home of the next round, from the distances to the pivots of this one."""
+    leaders = met.select("region", F.col("pivot").alias("node")).distinct()
+    rest = met.join(leaders, ["region", "node"], "left_anti")  # pivots leave
+    least = rest.groupBy("region", "node").agg(F.min(F.struct("d", "pivot")).alias("least")).select("region", "node", F.col("least.d").alias("near"), F.col("least.pivot").alias("nearest"))
+    rest = rest.join(least, ["region", "node"])
+    remote = F.col("near") > 2 * eps + _SLACK
+    inside = F.col("home") & ~remote & (F.col("nearest") == F.col("pivot"))
+    reach = rest.filter(inside).groupBy("region", "pivot").agg(F.max("d").alias("reach"))
+    visits = rest.join(reach, ["region", "pivot"]).filter((F.col("d") <= F.col("reach") + eps + _SLACK) & (F.col("d") <= F.col("near") + 2 * eps + _SLACK))
+    visits = visits.select(F.col("region").alias("parent"), F.xxhash64("region", "pivot").alias("region"), "node", inside.alias("home"))
+    far = rest.filter((F.col("near") > eps - _SLACK) & (F.col("nearest") == F.col("pivot"))).select(F.col("region").alias("parent"), F.xxhash64("region", F.lit(-1)).alias("region"), "node", (F.col("home") & remote).alias("home"))
+    lived = far.groupBy("region").agg(F.bool_or("home").alias("some")).filter("some").select("region")
+    return visits.unionByName(far.join(lived, "region", "left_semi"))
+
+
+def text_key(text: bytes) -> int:
+    """The number that xxhash64 of a text column gives."""
+    return xxhash.xxh64(text, seed=42).intdigest() - (1 << 64 if xxhash.xxh64(text, seed=42).intdigest() >> 63 else 0)
 
 
 def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, room: int = ROOM, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id that links reach) of every row."""
+    """doc_id, n_shingles, component_id (the smallest doc_id that links reach), n_links (the other
+    documents that it links with), text_key (xxhash64 of the text) and label (of the component; null
+    without words) of every row."""
     if not 67 <= percent <= 100:
         raise ValueError("percent lies between 67 and 100, so that three distances stay under 1")
-    spark = docs.sparkSession
-    shards = partitions(spark)
 
     def described(chunk):
-        sets = shingle_sets(chunk, width)
-        return pa.RecordBatch.from_arrays([pa.array(chunk.doc_ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.int64())], ["doc_id", "n_shingles", "node"])
-
-    with workspace(spark):
-        chunks = chunked(docs, doc_id, text)
-        rows = written(mapped(chunks, described, "doc_id long, n_shingles long, node long"), "sets", stay=True)
-        anchored = _anchored(_candidates(chunks, width, percent, shards), percent, shards)
-        labels = metric_links(anchored, percent, room)
-        named = rows.filter("n_shingles > 0")
-        least = named.groupBy("node").agg(F.min("doc_id").alias("first")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        groups = least.groupBy("label").agg(F.min("first").alias("component_id"))
-        least = written(least.join(groups, "label").select("node", "component_id"), "components", stay=True).withColumnRenamed("node", "key")
+        sets, ends = shingle_sets(chunk, width), chunk.offsets.tolist()
+        keys = [text_key(chunk.data[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(chunk.doc_ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.int64()), pa.array(keys, pa.int64())], ["doc_id", "n_shingles", "node", "text_key"])
+
+    with workspace(docs.sparkSession) as work:
+        chunks = chunked(work, docs, doc_id, text)
+        shards = shards_for(chunks)
+        rows = work.written(mapped(chunks, described, "doc_id long, n_shingles long, node long, text_key long"), "sets", stay=True)
+        nodes = work.written(rows.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("weight")), "nodes")
+        anchored = _anchored(work, _candidates(work, chunks, width, percent, shards), percent, shards)
+        anchored = work.written(anchored.join(nodes.select("node", "weight"), "node"), "weighed")
+        labels, links = metric_links(work, anchored, percent, room)
+        named = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        groups = named.groupBy("label").agg(F.min("first").alias("component_id"))
+        told = named.join(groups, "label").join(links, "node", "left").select(F.col("node").alias("key"), "label", "component_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+        told = work.written(told, "components", stay=True)
     match = (F.col("node") == F.col("key")) & (F.col("n_shingles") > 0)
-    return rows.join(least, match, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return rows.join(told, match, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "text_key", "label")
 
 
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return linked(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return linked(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_key", "label")
 
 
 OP3_SQL = r"""
@@ -437,18 +506,24 @@ WITH RECURSIVE split AS (
   SELECT a AS start, b AS node FROM links UNION SELECT start, b FROM reach JOIN links ON node = a
 ), least AS (
   SELECT start, min(node) AS least FROM reach GROUP BY start
+), met AS (
+  SELECT a, count(*) AS n_links FROM links GROUP BY a
 )
-SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(least, d.doc_id)) AS component_id
-FROM split d LEFT JOIN sizes USING (doc_id) LEFT JOIN least ON start = d.doc_id
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(least, d.doc_id)) AS component_id, coalesce(n_links, 0)::BIGINT AS n_links
+FROM split d LEFT JOIN sizes USING (doc_id) LEFT JOIN least ON start = d.doc_id LEFT JOIN met ON a = d.doc_id
 """
 
 
 def one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage: of each component of linked documents the one with the smallest id, with all its
-    columns. Documents without words stay, and so do rows without an id, which nothing can name.
-    A repeated row (equal id and text) stays once."""
-    key = ["doc_id", F.xxhash64("text").alias("digest")]
-    if docs.filter("doc_id IS NOT NULL").select(*key).groupBy("doc_id", "digest").count().filter("count > 1").limit(1).count():
-        docs = docs.filter("doc_id IS NULL").union(docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]))
-    kept = linked(docs).filter("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.filter("doc_id IS NULL")).select(*(F.col(f"`{c}`") for c in docs.columns))
+    """Stage: of each component of linked documents one row, with all its columns: that with the
+    smallest id (rows without an id last; of equal ids the text with the smallest digest). Documents
+    without words stay. A repeated row (equal id and text) stays once."""
+    rows = linked(docs)
+    if rows.groupBy("doc_id", "text_key").count().filter("count > 1").limit(1).count():
+        docs = docs.dropDuplicates(["doc_id", "text"])
+    first = rows.filter("label IS NOT NULL").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("k")).select("k.doc_id", "k.text_key")
+    kept = first.unionByName(rows.filter("label IS NULL").select("doc_id", "text_key")).distinct()
+    names = unused(docs, "_kept_id", "_kept_key")
+    kept = kept.toDF(*names)
+    match = F.col("doc_id").eqNullSafe(F.col(names[0])) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(names[1]))
+    return docs.join(kept, match, "left_semi")

@@ -28,7 +28,7 @@ PASSAGE, SAMPLE, THRESHOLD = 64, 5000, 0.3
 HIDDEN, GATE, EPOCHS = 16, 8, 250
 
 #: Disjoint classes of bytes whose shares in a passage are features; other bytes count as none.
-_CLASSES = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"\n", b".", b",;:", b"!?", b"|\t", b"#$%&*", b"()[]{}<>=+-/\\_^~`", b"'\"", b"@", bytes(range(0x80, 0x9F)), bytes(range(0x9F, 256))]
+_CLASSES = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"\n", b".", b",;:", b"!?", b"|\t", b"#$%&*", b"()[]{}<>=+-/\\_^~`", b"'\"", b"@", bytes(range(0x80, 0xA0)), bytes(range(0xA0, 256))]
 _CLASS = np.zeros(256, np.int64)
 for _row, _bytes in enumerate(_CLASSES, 1):
     _CLASS[list(_bytes)] = _row

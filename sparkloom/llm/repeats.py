@@ -4,10 +4,10 @@ A window of `length` symbols owns the position of its smallest k-gram hash (the
 occurs twice). Equal windows own their anchor at the same distance, so only windows whose anchors
 agree can be equal. Windows that follow one another and share an anchor form a segment.
 
-Round 1 asks, for each segment, whether its anchor and its whole content occur elsewhere. Nearly
-all segments are settled by that: unique anchors have no copy, and a segment that occurs again as
-a whole is repeated throughout. What is left are segments at the ends of matches, where the same
-anchor stands in different surroundings; round 2 compares those window by window.
+Round 1 asks of each distinct anchor of a chunk whether it occurs elsewhere, and whether it does so in
+several surroundings (segments that differ). An anchor that occurs once settles its windows: they have
+no copy. One that always stands in the same segment settles them too: all are repeated. The rest,
+anchors in several surroundings, are what the operators compare in round 2.
 """
 
 from __future__ import annotations
@@ -17,13 +17,23 @@ import numpy as np
 from .arrays import Spans, mix, sliding_min, windows_within
 
 _POSITION = np.uint64((1 << 24) - 1)
+TWICE, SEVERAL = 1, 2
+
+
+def _heads(*keys: np.ndarray) -> np.ndarray:
+    """Where a run of equal keys begins."""
+    head = np.zeros(len(keys[0]), bool)
+    head[:1] = True
+    for k in keys:
+        head[1:] |= k[1:] != k[:-1]
+    return head
 
 
 class Segments:
-    """The segments of a chunk: anchor a, first and last window start, and the keys of round 1."""
+    """The segments of a chunk: anchor, first and last window start, and their keys."""
 
     def __init__(self, symbols: np.ndarray, offsets: np.ndarray, length: int, gram: int):
-        self.length, self.spans = length, Spans(symbols)
+        self.length, self.gram, self.spans = length, gram, Spans(symbols)
         starts = windows_within(offsets, length)
         grams = self.spans.every(gram)
         if not len(starts):
@@ -41,13 +51,19 @@ class Segments:
             self.s_key = mix(whole + (self.anchor - self.first).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
         order = np.lexsort((self.s_key, self.a_key))
         a, s = self.a_key[order], self.s_key[order]
-        head = np.ones(len(order), bool)
-        head[1:] = (a[1:] != a[:-1]) | (s[1:] != s[:-1])
-        #: the first segment of each distinct pair of keys, how often the pair occurs, and each segment's pair
-        self.distinct = order[head]
+        of_pair, of_anchor = _heads(a, s), _heads(a)
+        #: a segment of each distinct pair (anchor, surroundings), how often the pair occurs, each segment's pair
+        self.distinct = order[of_pair]
         self.pair = np.empty(len(order), np.int64)
-        self.pair[order] = np.cumsum(head) - 1
+        self.pair[order] = np.cumsum(of_pair) - 1
         self.count = np.bincount(self.pair, minlength=len(self.distinct))
+        #: the distinct anchors: a segment of each, its number for each segment, whether it is met twice, in several surroundings
+        self.anchors = order[of_anchor]
+        self.which = np.empty(len(order), np.int64)
+        self.which[order] = np.cumsum(of_anchor) - 1
+        n = len(self.anchors)
+        self.twice = np.bincount(self.which, minlength=n) > 1
+        self.several = np.bincount(self.which[self.distinct], minlength=n) > 1
 
     @staticmethod
     def _anchors(grams, w):
@@ -59,73 +75,64 @@ class Segments:
             low = sliding_min((part & ~_POSITION) | np.arange(len(part), dtype=np.uint64), w)
             yield (low & _POSITION).astype(np.int64) + at
 
-    def by_shard(self, rows: np.ndarray, shards: int):
-        """Parts of `rows` (of `distinct`) for each shard, in an order that a later pass repeats."""
-        shard = (self.a_key[self.distinct[rows]] % np.uint64(shards)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
-        at = np.searchsorted(shard[order], np.arange(shards + 1))
-        for s in range(shards):
-            if at[s] < at[s + 1]:
-                yield s, rows[order[at[s] : at[s + 1]]]
+    def windows(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """All window starts of some runs of windows, run by run."""
+        sizes = last - first + 1
+        return np.arange(int(sizes.sum())) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
 
-    def windows(self, segments: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All window starts of some segments, and where each segment's begin."""
-        sizes = self.last[segments] - self.first[segments] + 1
-        at = np.cumsum(sizes) - sizes
-        return np.arange(int(sizes.sum())) + np.repeat(self.first[segments] - at, sizes), at
 
+def by_shard(keys: np.ndarray, shards: int):
+    """The places of `keys` for each shard, in an order that a later pass repeats."""
+    shard = (keys % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    at = np.searchsorted(shard[order], np.arange(shards + 1))
+    for s in np.unique(shard).tolist():
+        yield s, order[at[s] : at[s + 1]]
 
-def ask_segments(found: Segments, shards: int):
-    """Round 1: the distinct pairs of keys of a chunk, and whether a pair occurs twice in it."""
-    for s, rows in found.by_shard(np.arange(len(found.distinct)), shards):
-        d = found.distinct[rows]
-        yield s, found.a_key[d].tobytes() + found.s_key[d].tobytes() + (found.count[rows] > 1).astype(np.uint8).tobytes()
 
+def ask_anchors(found: Segments, shards: int):
+    """Round 1: the distinct anchors of a chunk, one of their surroundings, and what is known here."""
+    a, s = found.a_key[found.anchors], found.s_key[found.anchors]
+    known = (TWICE * found.twice + SEVERAL * found.several).astype(np.uint8)
+    for shard, rows in by_shard(a, shards):
+        yield shard, a[rows].tobytes() + s[rows].tobytes() + known[rows].tobytes()
 
-def answer_segments(asked: list[bytes]) -> list[bytes]:
-    """For each pair: 1 if it occurs twice, plus 2 if its anchor also has other surroundings."""
+
+def answer_anchors(asked: list[bytes]) -> list[bytes]:
+    """For each anchor: TWICE if it occurs elsewhere too, SEVERAL if in several surroundings."""
     sizes = [len(x) // 17 for x in asked]
     a = np.concatenate([np.frombuffer(x, np.uint64, n) for x, n in zip(asked, sizes, strict=True)])
     s = np.concatenate([np.frombuffer(x, np.uint64, n, 8 * n) for x, n in zip(asked, sizes, strict=True)])
-    twice = np.concatenate([np.frombuffer(x, np.uint8, n, 16 * n) for x, n in zip(asked, sizes, strict=True)])
-    order = np.lexsort((s, a))
-    a, s, twice = a[order], s[order], twice[order]
-    new_a = np.ones(len(a), bool)
-    new_a[1:] = a[1:] != a[:-1]
-    new_s = new_a.copy()
-    new_s[1:] |= s[1:] != s[:-1]
-    group_a, group_s = np.cumsum(new_a) - 1, np.cumsum(new_s) - 1
-    times = np.bincount(group_s, twice + 1.0)
-    kinds = np.bincount(group_a[new_s])
+    known = np.concatenate([np.frombuffer(x, np.uint8, n, 16 * n) for x, n in zip(asked, sizes, strict=True)])
+    order = np.argsort(a, kind="stable")
+    a, s, known = a[order], s[order], known[order]
+    head = _heads(a)
+    at, group = np.flatnonzero(head), np.cumsum(head) - 1
+    times = np.bincount(group)
+    twice = (times > 1) | (np.bitwise_or.reduceat(known, at) & TWICE > 0) if len(at) else np.zeros(0, bool)
+    several = (np.minimum.reduceat(s, at) != np.maximum.reduceat(s, at)) | (np.bitwise_or.reduceat(known, at) & SEVERAL > 0) if len(at) else np.zeros(0, bool)
     flags = np.empty(len(a), np.uint8)
-    flags[order] = (times[group_s] > 1) + 2 * (kinds[group_a] > 1)
+    flags[order] = (TWICE * twice + SEVERAL * several).astype(np.uint8)[group]
     return [x.tobytes() for x in np.split(flags, np.cumsum(sizes)[:-1])]
 
 
-def read_segments(found: Segments, answers: dict[int, bytes], shards: int) -> np.ndarray:
-    """The flags of round 1 for each distinct pair of a chunk."""
-    flags = np.zeros(len(found.distinct), np.uint8)
-    for s, rows in found.by_shard(np.arange(len(found.distinct)), shards):
+def read_anchors(found: Segments, answers: dict[int, bytes], shards: int) -> np.ndarray:
+    """The flags of round 1 for each segment."""
+    flags = np.zeros(len(found.anchors), np.uint8)
+    for s, rows in by_shard(found.a_key[found.anchors], shards):
         flags[rows] = np.frombuffer(answers[s], np.uint8)
-    return flags
-
-
-def ends_of_matches(found: Segments, flags: np.ndarray, shards: int):
-    """For each shard the segments that round 2 compares window by window: one for each distinct
-    pair of keys whose anchor also has other surroundings."""
-    for s, rows in found.by_shard(np.flatnonzero(flags & 2), shards):
-        yield s, found.distinct[rows]
-
-
-def covered(found: Segments, flags: np.ndarray, replies: dict[int, bytes], shards: int, n: int) -> np.ndarray:
-    """Which of a chunk's n symbols lie in repeated windows, from the answers of both rounds."""
-    whole = np.flatnonzero(flags[found.pair] & 1)
-    starts, stops = [found.first[whole]], [found.last[whole] + found.length]
-    for s, segments in ends_of_matches(found, flags, shards):
-        # a pair that occurs once in the chunk has one segment; else it is repeated as a whole
-        windows, _ = found.windows(segments)
-        hit = windows[np.unpackbits(np.frombuffer(replies[s], np.uint8), count=len(windows)).astype(bool)]
-        starts.append(hit)
-        stops.append(hit + found.length)
-    edge = np.bincount(np.concatenate(starts), minlength=n + 1) - np.bincount(np.concatenate(stops), minlength=n + 1)
+    return flags[found.which]
+
+
+def open_segments(found: Segments, flags: np.ndarray) -> np.ndarray:
+    """A segment of each distinct pair whose anchor has several surroundings: what round 2 compares."""
+    return found.distinct[flags[found.distinct] & SEVERAL > 0]
+
+
+def covered(found: Segments, flags: np.ndarray, hits: np.ndarray, n: int) -> np.ndarray:
+    """Which of a chunk's n symbols lie in repeated windows: those of segments that are repeated as a
+    whole, and the windows `hits` that round 2 found."""
+    whole = np.flatnonzero((flags == TWICE) | ((flags & SEVERAL > 0) & (found.count[found.pair] > 1)))
+    starts, stops = np.concatenate([found.first[whole], hits]), np.concatenate([found.last[whole], hits]) + found.length
+    edge = np.bincount(starts, minlength=n + 1) - np.bincount(stops, minlength=n + 1)
     return np.cumsum(edge[:n]) > 0

@@ -13,48 +13,63 @@ ARROW_BYTES = 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests), a new one is set."""
+    """The folder of spark.checkpoint.dir. Where it is unset, a master on this machine alone (as in
+    tests) gets a temporary one; on a cluster that would be out of the executors' reach: an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith(("local[", "local:")) and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='sparkloom-')}"
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
-#: Folders of the workspaces that are open, innermost last.
-_open: list[str] = []
-
-
 def _path(spark: SparkSession, name: str):
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
     return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+class Workspace:
+    """A folder for the tables of one piece of work."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/work-{uuid.uuid4().hex}"
+
+    def written(self, df: DataFrame, name: str, stay: bool = False) -> DataFrame:
+        """`df` as a Parquet table: its lineage ends there, and lost executors cost no more than the
+        reading of a file. It goes with the workspace, or (if it is to stay) when the session ends."""
+        if stay:
+            return written(df, name)
+        return _table(df, f"{self.folder}/{name}-{uuid.uuid4().hex}")
+
+    def drop(self) -> None:
+        at, files = _path(self.spark, self.folder)
+        files.delete(at, True)
+
+
 @contextmanager
 def workspace(spark: SparkSession):
-    """Tables written inside are deleted at its end, but for those that are to stay."""
-    folder = f"{shared_folder(spark)}/work-{uuid.uuid4().hex}"
-    _open.append(folder)
+    """A workspace whose tables are deleted at its end, but for those that are to stay."""
+    work = Workspace(spark)
     try:
-        yield
+        yield work
     finally:
-        _open.remove(folder)
-        at, files = _path(spark, folder)
-        files.delete(at, True)
+        work.drop()
 
 
-def written(df: DataFrame, name: str, stay: bool = False) -> DataFrame:
-    """`df` as a Parquet table in the shared folder: its lineage ends there, and lost executors
-    cost no more than the reading of a file. The table goes with the workspace it is written in,
-    or (outside of one, or if it is to stay) when the session ends."""
-    spark = df.sparkSession
-    inside = bool(_open) and not stay
-    path = f"{_open[-1] if inside else shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+def _table(df: DataFrame, path: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
-    if not inside:
-        at, files = _path(spark, path)
-        files.deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """A table that stays until the session ends: what a caller is given."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    out = _table(df, path)
+    at, files = _path(spark, path)
+    files.deleteOnExit(at)
+    return out
 
 
 def bounded_batches(spark: SparkSession) -> None:

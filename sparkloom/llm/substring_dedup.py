@@ -1,13 +1,17 @@
-"""Substring dedup by seeds and window hashes.
+"""Substring dedup by seeds that are extended both ways.
 
 Seeds are winnowed anchors: of every window of `length` words, the smallest hash of `gram` words.
-Documents meet at equal anchors (round 1 of `repeats`). Matches are not extended to maximal ones:
-segments whose hash occurs twice are marked whole, and at the ends of matches the hashes of the windows
-around the anchor are counted. Every word of a window of `length` words that occurs twice goes, in all
-documents that hold it and at every occurrence.
-
-Nulls count as empty texts; a text shorter than `length` words has no window and is kept; equal
-rows are copies of one another; an empty table gives an empty result; other columns are ignored.
+Documents meet at equal anchors (round 1 of `repeats`). An anchor that always stands in the same
+surroundings is extended to all of them at once. At any other, a match of `length` words around it takes
+b words to the left and the rest to the right: for every b the words from b left of the anchor on are
+hashed, and equal hashes are matches that extend so far both ways. All splits are tried at once and
+matches counted, so that no pair of documents is formed; the union of the windows that match is the
+maximal repeats of `length` words and more. Every word in one goes, in all documents that hold it and at
+every occurrence.
+
+Nulls count as empty texts; a text shorter than `length` words has no window and is kept; a text of
+any length is taken whole, at some 60 bytes of memory a byte; equal rows are copies of one another;
+rows without an id take part like others; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .arrays import mix, owners, words_of
-from .chunks import Chunk, answers, chunked, informed, mapped
-from .repeats import Segments, answer_segments, ask_segments, covered, ends_of_matches, read_segments
-from .scratch import partitions
+from .chunks import Chunk, answers, chunked, mapped, shards_for
+from .repeats import Segments, answer_anchors, ask_anchors, by_shard, covered, open_segments, read_anchors
+from .scratch import Workspace, workspace
 
 LENGTH, GRAM = 35, 12
 SCHEMA = "doc_id long, n_words long, n_removed long, kept string"
@@ -32,42 +36,60 @@ def _segments(chunk: Chunk, length: int, gram: int):
     return words, Segments(words[2], words[3], length, gram)
 
 
-def _ask_windows(found: Segments, flags: np.ndarray, shards: int):
-    every = found.spans.every(found.length)
-    for s, segments in ends_of_matches(found, flags, shards):
-        windows, at = found.windows(segments)
-        sizes = np.diff(np.append(at, len(windows)))
-        yield s, mix(every[windows] ^ np.repeat(found.a_key[segments], sizes)).tobytes()
+def _extended(found: Segments, segments: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Window starts around the anchors of some segments, and the hash of each with its anchor and split."""
+    windows = found.windows(found.first[segments], found.last[segments])
+    sizes = found.last[segments] - found.first[segments] + 1
+    left = np.repeat(found.anchor[segments], sizes) - windows
+    return windows, mix(found.spans.every(found.length)[windows] ^ np.repeat(found.a_key[segments], sizes) + left.astype(np.uint64))
+
+
+def _ask_windows(found: Segments, segments: np.ndarray, shards: int):
+    _, keys = _extended(found, segments)
+    keys = np.unique(keys)
+    for s, rows in by_shard(keys, shards):
+        yield s, keys[rows].tobytes()
 
 
 def _answer_windows(asked: list[bytes]) -> list[bytes]:
-    """Bits of the windows that occur twice."""
+    """Bits of the windows that several chunks hold, each of which asks of a window once."""
     keys = [np.frombuffer(x, np.uint64) for x in asked]
     _, which, times = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
     twice = times[which] > 1
     return [np.packbits(x).tobytes() for x in np.split(twice, np.cumsum([len(k) for k in keys])[:-1])]
 
 
-def removed_words(docs: DataFrame, out, schema: str, length: int = LENGTH, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _hits(found: Segments, segments: np.ndarray, replies: dict[int, bytes], shards: int) -> np.ndarray:
+    """The windows that match elsewhere, in this chunk or another."""
+    windows, keys = _extended(found, segments)
+    distinct, which, times = np.unique(keys, return_inverse=True, return_counts=True)
+    twice = times > 1
+    for s, rows in by_shard(distinct, shards):
+        twice[rows] |= np.unpackbits(np.frombuffer(replies[s], np.uint8), count=len(rows)).astype(bool)
+    return windows[twice[which]]
+
+
+def removed_words(work: Workspace, docs: DataFrame, out, schema: str, length: int = LENGTH, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """`out(chunk, starts, ends, offsets, gone)` for each chunk: words, and which of them go."""
     if not 1 <= gram <= length:
         raise ValueError("gram lies between 1 and length")
-    shards = partitions(docs.sparkSession)
-    chunks = chunked(docs, doc_id, text)
-    first = answers(chunks, lambda c, n: ask_segments(_segments(c, length, gram)[1], n), answer_segments, shards)
+    chunks = chunked(work, docs, doc_id, text)
+    shards = shards_for(chunks)
+    first = answers(work, chunks, lambda c, n: ask_anchors(_segments(c, length, gram)[1], n), answer_anchors, shards)
 
     def ask(chunk, n):
         found = _segments(chunk, length, gram)[1]
-        yield from _ask_windows(found, read_segments(found, chunk.answers(1), shards), n)
+        yield from _ask_windows(found, open_segments(found, read_anchors(found, chunk.answers(1), shards)), n)
 
-    second = answers(informed(chunks, first), ask, _answer_windows, shards, 2)
+    second = answers(work, chunks, ask, _answer_windows, shards, 2, first)
 
     def finish(chunk):
         (starts, ends, _, offsets), found = _segments(chunk, length, gram)
-        gone = covered(found, read_segments(found, chunk.answers(1), shards), chunk.answers(2), shards, len(starts))
+        flags = read_anchors(found, chunk.answers(1), shards)
+        gone = covered(found, flags, _hits(found, open_segments(found, flags), chunk.answers(2), shards), len(starts))
         return out(chunk, starts, ends, offsets, gone)
 
-    return mapped(informed(chunks, first, second), finish, schema)
+    return mapped(chunks, finish, schema, [first, second])
 
 
 def kept_words(data: np.ndarray, starts, ends, offsets, gone) -> list[bytes]:
@@ -99,7 +121,13 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, doc
         kept = kept_words(chunk.data, starts, ends, offsets, gone)
         return pa.RecordBatch.from_arrays([pa.array(chunk.doc_ids, pa.int64()), pa.array(n), pa.array(cut), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    return removed_words(docs, out, SCHEMA, length, gram, doc_id, text)
+    return _finished(docs, out, SCHEMA, length, gram, doc_id, text)
+
+
+def _finished(docs, out, schema, *names) -> DataFrame:
+    """The result as a table, so that what led to it can go."""
+    with workspace(docs.sparkSession) as work:
+        return work.written(removed_words(work, docs, out, schema, *names), "substring-dedup", stay=True)
 
 
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:
@@ -108,7 +136,7 @@ def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:
         kept = [hashlib.sha256(x).hexdigest() for x in kept_words(chunk.data, starts, ends, offsets, gone)]
         return pa.RecordBatch.from_arrays([pa.array(chunk.doc_ids, pa.int64()), pa.array(n), pa.array(cut), pa.array(kept)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return removed_words(spark.read.parquet(f"{sf_dir}/documents.parquet"), out, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _finished(spark.read.parquet(f"{sf_dir}/documents.parquet"), out, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 OP9_SQL = r"""

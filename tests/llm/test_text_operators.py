@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sparkloom.llm import byte_bpe, jaccard_join, license_scan, line_dedup, packing, quality, substring_dedup, suffix_dedup
 from sparkloom.llm.arrays import Spans, sliding_min, windows_within, words_of
 from sparkloom.llm.components import components
+from sparkloom.llm.scratch import workspace
 
 SCHEMA = "doc_id long, text string, shard int, pos int, key string, label string, chunk long, data string, node long, digest string"
 
@@ -100,15 +101,33 @@ def test_suffix_levels_merge_geometrically():
     index = suffix_dedup.SuffixLevels(2)
     rng = random.Random(5)
     seen = collections.Counter()
-    batches = [np.array([bytes(rng.choices(b"abcdefgh\0", k=2)) for _ in range(rng.randint(1, 9))], "S2") for _ in range(40)]
-    numbers = [index.add(b) for b in batches]
-    for b in batches:
-        seen.update(b.tolist())
-    for b, n in zip(batches, numbers, strict=True):
-        assert index.repeated[n].tolist() == [seen[x] > 1 for x in b.tolist()]
-    ranks = [r for r, _, _ in index.levels]
+    batches = [np.frombuffer(bytes(rng.choices(b"abcdefgh\0", k=rng.randint(2, 10))), np.uint8) for _ in range(40)]
+    numbers = [index.add(b, np.arange(len(b) - 1)) for b in batches]
+    pairs = [[bytes(b[i : i + 2]) for i in range(len(b) - 1)] for b in batches]
+    for p in pairs:
+        seen.update(p)
+    for p, n in zip(pairs, numbers, strict=True):
+        assert index.repeated[n].tolist() == [seen[x] > 1 for x in p]
+    ranks = [x.rank for x in index.levels]
     assert ranks == sorted(set(ranks), reverse=True)
-    assert all((np.sort(level) == level).all() for _, level, _ in index.levels)
+    for level in index.levels:
+        keys = level.keys(2)
+        assert (np.sort(keys) == keys).all() and len(set(keys.tolist())) == len(keys)
+    assert sum(len(x.at) for x in index.levels) == len(seen)
+
+
+def test_suffix_family_takes_later_batches(spark, tmp_path):
+    texts = corpus(4)
+    family = suffix_dedup.SuffixFamily(spark, str(tmp_path), 3, 30, 9)
+    before: list = []
+    for k, part in enumerate((texts[:30], texts[30:60], texts[60:], [], texts[:2])):
+        got = {r["doc_id"]: r["n_repeated"] for r in family.add(frame(spark, part) if part else frame(spark, ["x"]).limit(0)).collect()}
+        rows = [(t or "").encode() for t in before + part]
+        want = [sum(gone) for gone in repeated(rows, 30)][len(before) :]
+        assert got == dict(enumerate(want)), k
+        before += part
+        live = family.levels().groupBy("shard").agg(F.collect_list("rank").alias("ranks")).collect()
+        assert all(len(set(r["ranks"])) == len(r["ranks"]) for r in live)
 
 
 def brute_lines(rows, window=3):
@@ -206,7 +225,7 @@ def brute_components(texts, ids, percent=80, width=5):
     for t in texts:
         w = words("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
         sets.append({tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set()))
-    parent = list(range(len(sets)))
+    parent, links = list(range(len(sets))), [0] * len(sets)
 
     def find(x):
         while parent[x] != x:
@@ -217,11 +236,13 @@ def brute_components(texts, ids, percent=80, width=5):
         for j in range(i):
             if sets[i] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
                 parent[find(i)] = find(j)
+                links[i] += 1
+                links[j] += 1
     least = {}
     for i in range(len(sets)):
         if ids[i] is not None:
             least[find(i)] = min(least.get(find(i), 1 << 60), ids[i])
-    return [(ids[i], len(sets[i]), least.get(find(i)) if sets[i] else ids[i]) for i in range(len(sets))]
+    return [(ids[i], len(sets[i]), least.get(find(i)) if sets[i] else ids[i], links[i]) for i in range(len(sets))]
 
 
 @pytest.mark.parametrize(("percent", "room"), [(80, 2_000_000), (80, 300), (70, 100)])
@@ -237,8 +258,43 @@ def test_jaccard_join(spark, percent, room):
     ids = [*range(100, 100 + len(texts))]
     rng.shuffle(ids)
     ids[4] = None
-    got = jaccard_join.linked(frame(spark, texts, ids), percent=percent, room=room).collect()
-    assert sorted(map(str, got)) == sorted(str(type(got[0])(doc_id=a, n_shingles=b, component_id=c)) for a, b, c in brute_components(texts, ids, percent)) or {tuple(r) for r in got} == set(brute_components(texts, ids, percent))
+    got = jaccard_join.linked(frame(spark, texts, ids), percent=percent, room=room).drop("text_key", "label").collect()
+    key = lambda r: tuple(-1 if x is None else x for x in r)
+    assert sorted(map(tuple, got), key=key) == sorted(brute_components(texts, ids, percent), key=key)
+
+
+@pytest.mark.parametrize("pairs", [4_000_000, 50])
+def test_jaccard_hot_region_in_cells(spark, monkeypatch, pairs):
+    monkeypatch.setattr(jaccard_join, "PAIRS", pairs)
+    rng = random.Random(2)
+    base, texts = [f"w{i}" for i in range(60)], []
+    for i in range(50):
+        one = list(base)
+        for _ in range(rng.randint(0, 3)):
+            one[rng.randrange(60)] = f"e{rng.random()}"
+        texts.append(" ".join(one))
+    ids = list(range(len(texts)))
+    got = jaccard_join.linked(frame(spark, texts, ids)).drop("text_key", "label").collect()
+    assert sorted(map(tuple, got)) == sorted(brute_components(texts, ids))
+
+
+def test_jaccard_windows_prune_pairs():
+    """At the default room: Voronoi regions and their windows keep most pairs apart, bounds settle others."""
+    rng = random.Random(4)
+    common, sets = list(range(1000, 1040)), []
+    for group in range(12):  # groups share some shingles, so that anchors would connect them
+        base = [10_000 * (group + 1) + i for i in range(80)]
+        for _ in range(20):
+            one = set(rng.sample(common, 10)) | set(rng.sample(base, 76))
+            sets.append(np.array(sorted(one), np.int64))
+    region = jaccard_join.Region(sets, 80).join()
+    every = [[100 * len(set(a) & set(b)) >= 80 * len(set(a) | set(b)) for b in sets] for a in sets]
+    assert region.links.tolist() == [sum(row) - 1 for row in every]
+    n = len(sets)
+    assert region.apart > 0.5 * n * n and region.compared < 0.4 * n * n
+    close = [np.array(sorted(set(range(200)) - {k})) for k in range(40)]  # all within half of eps of any
+    tight = jaccard_join.Region(close, 80).join()
+    assert tight.links.tolist() == [39] * 40 and tight.bounded > 0.5 * 40 * 40
 
 
 def test_jaccard_bounds(spark):
@@ -256,12 +312,18 @@ def test_one_of_each(spark):
     docs = frame(spark, texts, [5, 3, 9, None, 3, 8])
     out = jaccard_join.one_of_each(spark, docs, "")
     assert out.columns == docs.columns
-    assert sorted((r["doc_id"] or -1, r["text"] or "") for r in out.collect()) == [(-1, "q w e r t y u"), (3, "A b c d e f g"), (3, "a b c d e f g"), (8, "q w e r t y u"), (9, "")]
+    assert sorted((r["doc_id"] or -1, r["text"] or "") for r in out.collect()) == [(3, out.filter("doc_id = 3").first()["text"]), (8, "q w e r t y u"), (9, "")]
+    # a copy goes though another text of its id stays; of copies without ids one stays; a repeated row stays once
+    other = "one two three four five six"
+    docs = frame(spark, ["a b c d e f", "a b c d e f", other, "x y z x y w v", "x y z x y w v", other, None, None], [1, 3, 3, None, None, 3, 7, 7])
+    out = jaccard_join.one_of_each(spark, docs, "")
+    assert sorted((r["doc_id"] or -1, r["text"] or "") for r in out.collect()) == [(-1, "x y z x y w v"), (1, "a b c d e f"), (3, other), (7, "")]
 
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 90), (90, 95), (7, 7), (200, 200)]
-    got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    with workspace(spark) as work:
+        got = {r["node"]: r["label"] for r in components(work, spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(1, 41), 1), 100: 90, 90: 90, 95: 90}
 
 
@@ -372,7 +434,7 @@ def test_repeated_rows(spark):
     docs = frame(spark, [text, text, "other"], [1, 1, 2])
     assert sorted((r["doc_id"], r["n_removed"]) for r in substring_dedup.substring_dedup(docs).collect()) == [(1, 50), (1, 50), (2, 0)]
     assert sorted((r["doc_id"], r["n_removed"] > 0) for r in suffix_dedup.suffix_dedup(docs, 100, 20).collect()) == [(1, True), (1, True), (2, False)]
-    assert sorted(tuple(r) for r in jaccard_join.linked(docs).collect()) == [(1, 46, 1), (1, 46, 1), (2, 1, 2)]
+    assert sorted(tuple(r)[:4] for r in jaccard_join.linked(docs).collect()) == [(1, 46, 1, 1), (1, 46, 1, 1), (2, 1, 2, 0)]
 
 
 def test_clashing_columns(spark):
