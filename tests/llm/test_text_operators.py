@@ -1,6 +1,7 @@
 """The operators on texts against brute force, on small tables with every odd case."""
 
 import collections
+import math
 import random
 import re
 
@@ -359,16 +360,86 @@ def test_license_scan(spark):
 def test_license_grams_agree(spark):
     lines = [t for texts in license_scan.TEMPLATES.values() for t in texts] + ["", "license", "a license", "(c) Copyright -- x.y. MIT license"]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "i int, t string").select("i", license_scan._grams(F.lower("t")).alias("g")).collect()
-    assert all(set(r["g"]) == license_scan.grams(lines[r["i"]]) for r in rows)
+    known = set(license_scan.trained()[1])
+    for r in rows:
+        assert set(r["g"]["grams"]) == license_scan.grams(lines[r["i"]]) & known and len(r["g"]["grams"]) == len(set(r["g"]["grams"]))
+        assert r["g"]["places"] == license_scan.places(len([w for w in re.split(r"[^a-z0-9]+", lines[r["i"]].lower()) if w]))
 
 
-def test_license_model_by_brute_force():
+def predicted(text):
+    """family, probability, similarity of a paragraph, straight from weights and templates."""
     classes, weights, bias = license_scan.trained()
+    held = license_scan.grams(text)
+    z = [(b + sum(weights[g][k] for g in held if g in weights)) / 1000 for k, b in enumerate(bias)]
+    k = max(range(len(z)), key=lambda i: (z[i], -i))
+    p = 1 / sum(math.exp(x - z[k]) for x in z)
+    n = license_scan.places(len([w for w in re.split(r"[^a-z0-9]+", text.lower()) if w]))
+    entire = max((len(held & x) / len(x) for c, x in license_scan._templates(classes) if c == k), default=0)
+    part = max((len(held & x) / n for c, x in license_scan._templates(classes) if c == k), default=0) if n >= license_scan.WHOLE else 0
+    return (classes[k] if p >= license_scan.LEAST else license_scan.UNKNOWN), p, max(entire, part), entire, entire >= license_scan.SIMILAR or part >= license_scan.PART
+
+
+def brute_licenses(text):
+    """paragraph -> family, probability, similarity, confirmed, for lines and paragraphs of several."""
+    out, lines, first = [], (text or "").split("\n"), 0
+    while first < len(lines):
+        if not lines[first].strip():
+            first += 1
+            continue
+        end = first
+        while end < len(lines) and lines[end].strip():
+            end += 1
+        units = [(i + 1, False, lines[i]) for i in range(first, end)] + ([(first + 1, True, " ".join(lines[first:end]))] if end - first > 1 else [])
+        got = [(i, joined, *predicted(t)) for i, joined, t in units]
+        got = [g for g in got if g[2] != license_scan.UNKNOWN]
+        told = {g[2] for g in got if not g[1] and g[5] >= license_scan.SIMILAR}
+        got = [g for g in got if not g[1] or g[2] not in told]
+        whole = any(g[1] and g[6] for g in got)
+        out += [(i, f, round(p, 6), round(s, 6), c) for i, joined, f, p, s, e, c in got if joined or e >= license_scan.SIMILAR or not whole]
+        first = end
+    return out
+
+
+def test_license_query_by_brute_force(spark, tmp_path):
+    rng, every = random.Random(6), [t for texts in license_scan.TEMPLATES.values() for t in texts] + license_scan.PROSE + license_scan.OTHERS
+    texts = []
+    for _ in range(60):
+        lines = []
+        for _ in range(rng.randint(1, 8)):
+            words = rng.choice(every).split()
+            at = sorted(rng.randrange(len(words) + 1) for _ in range(rng.randint(0, 3)))
+            cut = [words[a:b] for a, b in zip([0, *at], [*at, len(words)], strict=True)]
+            lines += [rng.choice(["", "", " * ", "# "]) + " ".join(c) for c in cut] + rng.choice([[], [""], [" \t"]])
+        texts.append("\n".join(lines))
+    texts += ["", None, "\n\n", "the river\n" * 3000 + "Released under the MIT License.\n" + "old " * 60_000]
+    frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r["doc_id"], r["paragraph"], r["family"], round(r["probability"], 5), r["similarity"], r["confirmed"]) for r in license_scan.op7_license_scan(spark, str(tmp_path)).collect())
+    assert got == sorted((d, i, f, round(p, 5), s, c) for d, t in enumerate(texts) for i, f, p, s, c in brute_licenses(t))
+
+
+#: Notices and false friends that the model was not fitted on.
+_HELD_OUT = [
+    ("GNU Affero General Public License, version 3", "agpl"), ("Eclipse Public License 2.0", "epl"), ("Copyright (c) 2019 Jane Doe. All rights reserved.", "proprietary"), ("This project is MIT licensed.", "mit"),
+    ("Code released under the MIT license", "mit"), ("License: Apache 2.0", "apache-2.0"), ("Licensed under Apache-2.0", "apache-2.0"), ("This library is distributed under the BSD 3-Clause license.", "bsd"),
+    ("available under a CC-BY-SA 4.0 license", "cc-by-sa"), ("This dataset is released under CC BY-NC 4.0", "cc-by-nc"), ("distributed under the terms of the GNU GPL v2", "gpl"), ("licensed under the GNU Lesser General Public License v3", "lgpl"),
+    ("Mozilla Public License Version 2.0", "mpl"), ("released into the public domain under CC0", "cc0"), ("We reserve all rights to the restaurant seat.", "unknown"), ("Licensed under the zlib License.", "unknown"),
+    ("Licensed under the European Union Public Licence, version 1.2.", "unknown"), ("This Font Software is licensed under the SIL Open Font License, Version 1.1.", "unknown"),
+    ("Distributed under the Do What The Fuck You Want To Public License, Version 2", "unknown"), ("Licensed under the Q Public License version 1.0", "unknown"), ("licensed under the Elastic License 2.0", "unknown"),
+    ("The bar lost its liquor license after the hearing.", "unknown"), ("All hotel rooms are reserved for members with full rights.", "unknown"), ("The commons and the lords argued about public money.", "unknown"),
+    ("Permission slips are due on Friday.", "unknown"), ("a general in the public service", "unknown"), ("The software engineer was granted a visa.", "unknown"), ("He got his pilot's license under the old rules, version of his father.", "unknown"),
+    ("The BSD scene in Berkeley was small.", "unknown"), ("The author waived all fees for the lecture.", "unknown"), ("They copied, modified and merged the songs.", "unknown"), ("public domain name servers were down", "unknown"),
+]
+
+
+def test_license_held_out_texts():
+    got = [(predicted(t), want) for t, want in _HELD_OUT]
+    named = [(p, w) for p, w in got if p[0] != "unknown"]
+    assert sum(p[0] == w for p, w in named) / len(named) >= 0.9  # precision
+    real = [(p, w) for p, w in got if w != "unknown"]
+    assert sum(p[0] == w for p, w in real) / len(real) >= 0.75  # recall
+    assert all(p[0] == w for p, w in got if p[0] != "unknown" and p[4])  # no false confirmation
     for family, texts in license_scan.TEMPLATES.items():
-        for text in texts:
-            z = [b + sum(weights.get(g, [0] * len(classes))[k] for g in license_scan.grams(text)) for k, b in enumerate(bias)]
-            assert classes[int(np.argmax(z))] == family, text
-    assert classes[int(np.argmax(bias))] == license_scan.UNKNOWN
+        assert all(predicted(t)[0] == family and predicted(t)[2] > 0.999 for t in texts)
 
 
 def quality_table(spark, n=400):
@@ -468,7 +539,7 @@ def test_license_anchors_lose_nothing():
     classes, weights, bias = license_scan.trained()
     anchors = set(license_scan.anchors())
     for k, _ in enumerate(classes[:-1]):
-        free = [w for g, w in weights.items() if not anchors & set(re.findall("[a-z0-9]+", g))]
+        free = [w for g, w in weights.items() if not anchors & set(g.split(" "))]
         assert sum(max(0, w[k] - w[-1]) for w in free) + bias[k] < bias[-1]
 
 
