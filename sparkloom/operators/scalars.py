@@ -13,7 +13,10 @@ def settled(df: DataFrame) -> DataFrame:
     """`df` checkpointed to the folder that all executors share; its lineage ends there."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkloom-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (context.master == "local" or context.master.startswith("local[")):  # a local folder is out of the executors' reach
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sparkloom-"))
     return df.checkpoint()
 
 
