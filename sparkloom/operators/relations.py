@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .scalars import first_of
 
@@ -42,14 +43,18 @@ def innermost(points: DataFrame, intervals: DataFrame, keys: list[str], at: str,
     return met.select(*points.columns, F.col("_best._start").alias("enclosing_start"), F.col("_best._name").alias("enclosing"))
 
 
-def merged_parts(parts: DataFrame, name: str, namespace: str, bases: str, start: str) -> DataFrame:
+def merged_parts(parts: DataFrame, name: str, namespace: str, bases: str, start: str, place: list[str] | None = None, order: list | None = None) -> DataFrame:
     """Partial declarations of one name as one row for each namespace: how many parts, the union of
-    their bases in order, and whether the name is ambiguous (occurs in several namespaces)."""
-    one = parts.groupBy(F.col(name), F.lower(F.col(namespace)).alias("_ns")).agg(
-        F.min(namespace).alias(namespace), F.count("*").alias("parts"), F.sort_array(F.array_distinct(F.flatten(F.collect_list(bases)))).alias("bases"), F.min(start).alias("first")
+    their bases in order, and whether the name is ambiguous (occurs in several namespaces). `place`
+    names further columns, taken from the first part in `order`."""
+    key = F.lower(F.coalesce(F.col(namespace), F.lit("")))
+    more = [F.min_by(F.struct(*place), F.struct(*order)).alias("_place")] if place else []
+    none = F.array().cast("array<string>")
+    one = parts.groupBy(F.col(name), key.alias("_ns")).agg(
+        F.min(namespace).alias(namespace), F.count("*").alias("parts"), F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.coalesce(bases, none))))).alias("bases"), F.min(start).alias("first"), *more
     )
-    several = one.groupBy(name).agg((F.count("*") > 1).alias("ambiguous"))
-    return one.join(several, name).drop("_ns")
+    out = one.withColumn("ambiguous", F.count("*").over(Window.partitionBy(name)) > 1).drop("_ns")
+    return out.select(*(c for c in out.columns if c != "_place"), "_place.*") if place else out
 
 
 def recent_notes(notes: DataFrame, most: int = 50, width: int = 300) -> DataFrame:

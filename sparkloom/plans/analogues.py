@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.names import ancestors, initials, kind_filter, simple_base_name, subsequence
 from ..functions.text import age, base_name, clipped, estimated_tokens, folder_key, is_generated, is_test, lines
 from ..operators import graph, relations, search, text
 from ..operators.scalars import first_of, top
+from ..sources import tree
 from ..streaming.changes import classified, debounced_batch
 
 SYMBOLS_SQL = """
@@ -104,7 +104,7 @@ def reference_scan(spark, sf_dir):
 
 
 REFERENCE_SCAN_SQL = rf"""WITH {_LINES_SQL}
-SELECT doc_id, count(*)::BIGINT AS matches FROM kept WHERE lang = 'en' AND NOT starts_with(ltrim(line), '//') AND regexp_matches(line, '\bthe\b') GROUP BY doc_id"""
+SELECT doc_id, count(*)::BIGINT AS matches FROM kept WHERE NOT starts_with(ltrim(line), '//') AND regexp_matches(line, '(^|[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}])the($|[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}])') GROUP BY doc_id"""
 
 
 def grouped_caps(spark, sf_dir):
@@ -243,8 +243,9 @@ IDF_TERMS_SQL = f"WITH {_MENTIONS_SQL} SELECT name, df, round(idf, 6) AS idf FRO
 
 def edge_weights(spark, sf_dir):
     """Definers of a name: the documents that begin a line with it."""
-    found = graph.mention_counts(documents(spark, sf_dir).select(F.col("doc_id").alias("doc"), F.explode(_words()).alias("name")))
     first = text.exploded_lines(documents(spark, sf_dir)).select(F.col("doc_id").alias("doc"), F.regexp_extract("line", "^([A-Z][a-z]+)", 1).alias("name")).filter("name <> ''").distinct()
+    words = documents(spark, sf_dir).select(F.col("doc_id").alias("doc"), F.explode(_words()).alias("name"))
+    found = graph.mention_counts(words.join(first.select("name").distinct(), "name", "left_semi"))  # no other word makes an edge
     weights = graph.term_weights(found, table(spark, sf_dir, "documents").count())
     return graph.mention_edges(found, first, weights).select("src", "dst", F.round("weight", 6).alias("weight"))
 
@@ -254,7 +255,7 @@ defs AS (SELECT DISTINCT doc_id AS dst, regexp_extract(line, '^([A-Z][a-z]+)', 1
 definers AS (SELECT name, count(*) AS definers FROM defs GROUP BY name),
 counts AS (SELECT doc, name, count(*) AS n FROM mentions GROUP BY doc, name)
 SELECT doc AS src, dst, round(sum(sqrt(n) * idf / definers), 6) AS weight FROM counts JOIN weights USING (name) JOIN definers USING (name) JOIN defs USING (name)
-WHERE df <= 20 AND doc <> dst GROUP BY doc, dst"""
+WHERE doc <> dst GROUP BY doc, dst"""
 
 
 def nation_edges(spark, sf_dir) -> DataFrame:
@@ -306,7 +307,7 @@ def definition_scores(spark, sf_dir):
 
 DEFINITION_SCORES_SQL = f"""WITH ranks AS ({_ranks_sql(0.85, "1.0 / (SELECT count(*) FROM nation)", "weight").replace("round(rank, 6)", "rank")}),
 defs AS (SELECT s_nationkey AS doc, s_name AS name, 1.0 AS w FROM supplier UNION ALL SELECT c_nationkey, c_name, 0.6 FROM customer)
-SELECT doc, name, round(rank * w / sum(w) OVER (PARTITION BY doc), 6) AS score FROM defs JOIN ranks ON node = doc ORDER BY score DESC, doc, name LIMIT 100"""
+SELECT doc, name, round(rank * w / sum(w) OVER (PARTITION BY doc), 6) AS score FROM defs JOIN ranks ON node = doc"""
 
 
 def transitive_closure(spark, sf_dir):
@@ -329,7 +330,7 @@ def call_tree_bounded(spark, sf_dir):
     return graph.closure(edges, spark.createDataFrame([(0,)], "node int"), 3)
 
 
-CALL_TREE_BOUNDED_SQL = f"""WITH RECURSIVE {_NATION_EDGES_SQL}, edges AS (SELECT src, dst FROM raw WHERE weight::BIGINT % 3 = 0),
+CALL_TREE_BOUNDED_SQL = f"""WITH RECURSIVE {_NATION_EDGES_SQL}, edges AS (SELECT src, dst FROM raw),
 reach AS (SELECT 0 AS node, 0 AS depth UNION SELECT dst, depth + 1 FROM reach JOIN edges ON node = src WHERE depth < 3)
 SELECT node::INTEGER AS node, min(depth)::INTEGER AS depth FROM reach GROUP BY node"""
 
@@ -452,8 +453,9 @@ def scope_resolution(spark, sf_dir):
 
 
 SCOPE_RESOLUTION_SQL = """WITH p AS (SELECT p_partkey, p_type || '.s' || (p_size % 3) AS namespace FROM part),
-f AS (SELECT p_partkey AS file, p_type || '.s' || (p_partkey % 3) || '.x' AS own FROM part WHERE p_partkey % 50 = 0)
-SELECT file, count(*)::BIGINT AS in_scope, min(p_partkey) AS first FROM f JOIN p ON own = namespace OR starts_with(own, namespace || '.') GROUP BY file"""
+f AS (SELECT p_partkey AS file, p_type || '.s' || (p_partkey % 3) || '.x' AS own FROM part),
+n AS (SELECT namespace, count(*) AS n, min(p_partkey) AS first FROM p GROUP BY namespace)
+SELECT file, sum(n)::BIGINT AS in_scope, min(first) AS first FROM f JOIN n ON own = namespace OR starts_with(own, namespace || '.') GROUP BY file"""
 
 
 def base_type_names(spark, sf_dir):
@@ -466,11 +468,10 @@ BASE_TYPE_NAMES_SQL = """SELECT upper(w[1]) || lower(w[2:]) AS base, count(*)::B
 
 
 def name_disambiguation(spark, sf_dir):
-    """Folders of pages, named by their last part; equal names (in any case) get the folder."""
+    """Folders of pages as TypeScript projects, each with a package file that has no name."""
     folders = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "^[a-z]+://(.*)/[^/]*$", 1).alias("dir")).distinct()
-    named = folders.select(F.element_at(F.split("dir", "/"), -1).alias("name"), "dir")
-    n = F.count("*").over(Window.partitionBy(F.lower("name")))
-    return named.select("dir", F.when(n > 1, F.concat("name", F.lit(" ["), "dir", F.lit("]"))).otherwise(F.col("name")).alias("name"))
+    files = tree.tree(folders.select(F.concat("dir", F.lit("/package.json")).alias("path"), F.lit(None).cast("timestamp").alias("mtime"), F.lit("{}").alias("content")))
+    return tree.ts_projects(files).select("dir", "name")
 
 
 NAME_DISAMBIGUATION_SQL = """WITH f AS (SELECT DISTINCT regexp_extract(url, '^[a-z]+://(.*)/[^/]*$', 1) AS dir FROM pages), n AS (SELECT dir, string_split(dir, '/')[-1] AS name FROM f)
@@ -482,7 +483,7 @@ def symbol_json(spark, sf_dir):
     return symbols(spark, sf_dir).select(F.to_json(F.struct("name", "kind", "project", F.col("start_line").alias("startLine"))).alias("json"))
 
 
-SYMBOL_JSON_SQL = f"""{SYMBOLS_SQL} SELECT to_json({{'name': name, 'kind': kind, 'project': project, 'startLine': start_line}})::VARCHAR AS json FROM symbols WHERE project IN ('region', 'nation')"""
+SYMBOL_JSON_SQL = f"""{SYMBOLS_SQL} SELECT to_json({{'name': name, 'kind': kind, 'project': project, 'startLine': start_line}})::VARCHAR AS json FROM symbols"""
 
 
 def kind_filtered(spark, sf_dir):

@@ -36,28 +36,30 @@ def did_you_mean(index: Index, query: str, n: int = 5) -> DataFrame:
     return search.nearest_names(index.symbols.select("name"), query, n)
 
 
+def _named_types(index: Index, name: str, namespace: str | None, project: str | None) -> DataFrame:
+    found = _in_project(index.types.filter(same_name(F.col("name"), F.lit(name))), project)
+    return found.filter(namespace_matches(F.coalesce("namespace", F.lit("")), namespace)) if namespace else found
+
+
 def resolved_type(index: Index, name: str, namespace: str | None = None, project: str | None = None) -> DataFrame:
     """Types of a name, parts merged: one row for each namespace, `ambiguous` if there are several.
     The part with bases, then the first line, gives the place."""
-    found = _in_project(index.types.filter(same_name(F.col("name"), F.lit(name))), project)
-    if namespace:
-        found = found.filter(namespace_matches(F.coalesce("namespace", F.lit("")), namespace))
-    order = F.struct(F.col("base_types").isNull(), "start_line", "path")
-    merged = found.groupBy(F.lower(F.coalesce("namespace", F.lit(""))).alias("key")).agg(
-        F.min_by(F.struct("name", "kind", "keyword", "namespace", "project", "file", "path", "start_line", "line_count", "enum_values"), order).alias("p"),
-        F.count("*").alias("parts"), F.array_distinct(F.flatten(F.collect_list(F.coalesce("base_types", F.array().cast("array<string>"))))).alias("base_types"),
-    )
-    return merged.withColumn("ambiguous", F.lit(merged.count() > 1)).select("p.*", "parts", F.sort_array("base_types").alias("base_types"), "ambiguous")
+    found = _named_types(index, name, namespace, project).withColumn("key", F.lower("name"))
+    place = ["name", "kind", "keyword", "project", "file", "path", "start_line", "line_count", "enum_values"]
+    merged = relations.merged_parts(found, "key", "namespace", "base_types", "start_line", place, [F.col("base_types").isNull(), "start_line", "path"])
+    return merged.select("name", "kind", "keyword", "namespace", "project", "file", "path", "start_line", "line_count", "enum_values", "parts", F.col("bases").alias("base_types"), "ambiguous")
 
 
 def get_type_members(index: Index, name: str, kind: str | None = None, namespace: str | None = None, project: str | None = None) -> DataFrame:
-    """Members of all parts of a type, by kind and in the order of the file."""
+    """Members of all parts of a type, by kind and in the order of the file. Types of several namespaces
+    stay apart: their members come namespace by namespace, all marked `ambiguous`."""
     rows = _in_project(index.members.filter(same_name(F.col("parent_type"), F.lit(name))), project).filter(kind_filter(F.col("kind"), kind))
     if namespace:
         rows = rows.filter(namespace_matches(F.coalesce("namespace", F.lit("")), namespace))
     rows = first_of(rows, ["path", "start_line", "line_count", "name", "signature"], ["member_no"])
+    rows = rows.withColumn("ambiguous", resolved_type(index, name, namespace, project).agg(F.count("*") > 1).scalar())
     kinds = F.array(*map(F.lit, ["Method", "Property", "Field", "Constructor", "Event"]))
-    return rows.orderBy(F.array_position(kinds, F.col("kind")), "path", "type_no", "member_no")
+    return rows.orderBy(F.lower(F.coalesce("namespace", F.lit(""))), F.array_position(kinds, F.col("kind")), "path", "type_no", "member_no")
 
 
 def get_file_outline(index: Index, file: str, types_only: bool = False) -> DataFrame:
@@ -89,6 +91,12 @@ def _text_hits(index: Index, predicate, project, include_generated: bool, litera
     return text.line_hits(files if include_generated else files.filter("NOT generated"), predicate, literal)
 
 
+def search_summary(index: Index, query: str, project: str | None = None, is_regex: bool = False, ignore_case: bool = False, include_generated: bool = False) -> DataFrame:
+    """The 12 files with most hits of a text search, with the number of all hits and files."""
+    literal = None if is_regex or ignore_case else query
+    return text.summary(_text_hits(index, lambda c: line_matches(c, query, is_regex, ignore_case), project, include_generated, literal), "path")
+
+
 def find_references(index: Index, symbol: str, project: str | None = None, include_generated: bool = False, most: int = text.MAX, per_file: int = text.PER_FILE) -> DataFrame:
     return text.grouped(_text_hits(index, lambda c: mentions(c, symbol), project, include_generated, symbol), "path", F.col("generated"), per_file, most)
 
@@ -103,7 +111,7 @@ def reference_facets(index: Index, symbol: str, project: str | None = None) -> D
 
 def with_context(index: Index, rows: DataFrame, around: int) -> DataFrame:
     """Hits (path, line_no) with the lines around each."""
-    own = index.files.select("path", lines(F.col("text")).alias("_ls"))
+    own = index.files.join(F.broadcast(rows.select("path").distinct()), "path", "left_semi").select("path", lines(F.col("text")).alias("_ls"))  # rows are capped
     first = F.greatest(F.lit(1), F.col("line_no") - around)
     return rows.join(own, "path").withColumn("context", F.slice("_ls", first, F.col("line_no") + around - first + 1)).drop("_ls")
 
@@ -138,13 +146,14 @@ def search_structural(index: Index, pattern: str, project: str | None = None, mo
         raise ValueError(f"unknown pattern {pattern!r}; one of {', '.join(known)}")
     lang, shape = known[pattern.strip().lower()]
     hits = _in_project(index.events.filter((F.col("lang") == lang) & shape & ~is_generated(F.col("file"))), project)
-    return text.grouped(_with_line(index, hits), "path", None, per_file, most)
+    rows = text.grouped(hits.withColumnRenamed("line", "line_no").withColumn("line", F.lit(None).cast("string")), "path", None, per_file, most)
+    return _with_line(index, rows)
 
 
-def _with_line(index: Index, hits: DataFrame) -> DataFrame:
-    own = index.files.select("path", lines(F.col("text")).alias("_ls"))
-    numbered = hits.withColumnRenamed("line", "line_no").join(own, "path")
-    return numbered.withColumn("line", F.try_element_at("_ls", F.col("line_no"))).drop("_ls")
+def _with_line(index: Index, rows: DataFrame) -> DataFrame:
+    """Rows under a cap with the text of their lines; only their files are split."""
+    own = index.files.join(F.broadcast(rows.select("path").distinct()), "path", "left_semi").select("path", lines(F.col("text")).alias("_ls"))
+    return rows.join(own, "path").withColumn("line", F.try_element_at("_ls", F.col("line_no"))).drop("_ls").orderBy("file_rank", "line_no")
 
 
 # -- hierarchy and calls
@@ -156,10 +165,11 @@ def type_edges(index: Index) -> DataFrame:
     return rows.select(F.lower(simple_base_name(F.col("base"))).alias("src"), F.lower("name").alias("dst"), "base", "name", "kind", "project", "file", "path", "start_line")
 
 
-def get_class_hierarchy(index: Index, name: str, transitive: bool = False, depth: int = 25, most: int = 500) -> DataFrame:
+def get_class_hierarchy(index: Index, name: str, transitive: bool = False, depth: int = 25, most: int = 500, project: str | None = None) -> DataFrame:
     """Types derived from a name, by depth; each place once, at its least depth. `truncated` tells
-    whether the caps cut anything."""
-    edges = type_edges(index)
+    whether the caps cut anything. A base is known by its simple name alone; `project` keeps to derived
+    types of one project."""
+    edges = _in_project(type_edges(index), project)
     root = index.files.sparkSession.createDataFrame([(name.lower(),)], "node string")
     reach = graph.closure(edges.select("src", "dst").distinct(), root, (depth if transitive else 1) - 1 if transitive else 0)
     found = edges.join(reach.withColumnRenamed("node", "src"), "src").filter(F.col("dst") != name.lower())
@@ -169,6 +179,13 @@ def get_class_hierarchy(index: Index, name: str, transitive: bool = False, depth
     return top(found.select("depth", "name", "kind", "base", "project", "file", "path", "start_line", (total > most).alias("truncated")), most, ["depth", folded(F.col("name")), "path", "start_line"])
 
 
+def get_base_types(index: Index, name: str, namespace: str | None = None, project: str | None = None) -> DataFrame:
+    """The bases of a type as declared, each with the places that define a type of that simple name."""
+    bases = resolved_type(index, name, namespace, project).select("namespace", "ambiguous", F.explode("base_types").alias("base")).withColumn("key", F.lower(simple_base_name(F.col("base"))))
+    known = index.types.select(F.lower("name").alias("key"), F.col("kind").alias("base_kind"), "path", "start_line")
+    return bases.join(known, "key", "left").drop("key").orderBy("namespace", "base", "path", "start_line")
+
+
 def calls(index: Index, language: str = "both", project: str | None = None) -> DataFrame:
     langs = {"csharp": ["cs"], "typescript": ["ts"], "both": ["cs", "ts"]}[language]
     return _in_project(index.events.filter((F.col("kind") == "call") & F.col("lang").isin(langs) & ~is_generated(F.col("file"))), project)
@@ -184,8 +201,9 @@ def callees(index: Index, method: str, language: str = "both", project: str | No
     return top(found.groupBy("name").agg(F.count("*").alias("times")), most, [F.desc("times"), "name"])
 
 
-def trace_calls(index: Index, method: str, direction: str = "callees", depth: int = 3, project: str | None = None, most: int = 40) -> DataFrame:
-    """The call tree in depth-first order: no, depth, name, already (traced further up). Neighbours
+def trace_calls(index: Index, method: str, direction: str = "callees", depth: int = 3, project: str | None = None, most: int = 40, include_bodies: bool = False) -> DataFrame:
+    """The call tree in depth-first order: no, depth, name, already (traced further up), the first place
+    that defines the name (path, start_line, line_count) and, if wished, its source. Neighbours
     come in order of name. The walk is sequential, so it runs on the driver; it asks the cluster for
     the neighbours of all names it has met at once, and no more than `most` of each, since no more
     rows are shown."""
@@ -204,7 +222,18 @@ def trace_calls(index: Index, method: str, direction: str = "callees", depth: in
         after |= {name: [] for name in unknown}
         for row in near.withColumn("n", rank).filter(F.col("n") <= most).collect():
             after[row["src"]].append(row["dst"])
-    return index.files.sparkSession.createDataFrame(out, "no int, depth int, name string, already boolean").orderBy("no")
+    tree = index.files.sparkSession.createDataFrame(out, "no int, depth int, name string, already boolean")  # `most` rows
+    sites = index.members.filter("kind = 'Method'").select("name", "path", "start_line", "line_count").unionByName(index.types.filter("kind = 'Function'").select("name", "path", "start_line", "line_count"))
+    sites = first_of(_in_files(index, sites, project).join(F.broadcast(tree.select("name").distinct()), "name", "left_semi"), ["name"], ["path", "start_line"])
+    tree = tree.join(sites, "name", "left")
+    if include_bodies:
+        own = index.files.join(F.broadcast(sites.select("path").distinct()), "path", "left_semi").select("path", lines(F.col("text")).alias("_ls"))
+        tree = tree.join(own, "path", "left").withColumn("source", F.array_join(F.slice("_ls", F.col("start_line"), F.col("line_count")), "\n")).drop("_ls")
+    return tree.select("no", "depth", "name", "already", "path", "start_line", "line_count", *(["source"] if include_bodies else [])).orderBy("no")
+
+
+def _in_files(index: Index, rows: DataFrame, project: str | None) -> DataFrame:
+    return rows.join(_in_project(index.files, project).select("path"), "path", "left_semi") if project else rows
 
 
 def _walk(root: str, after: dict[str, list[str]], depth: int, most: int) -> tuple[list[tuple], list[str]]:
@@ -298,6 +327,12 @@ def repo_info(index: Index, store: Store | None = None, now: float | None = None
     return n.withColumn("projects", index.projects.agg(F.count("*")).scalar()).withColumn("build", F.lit(entry["kind"] if entry else "none")).withColumn("age", since)
 
 
+def project_files(index: Index, project: str, most: int = 200) -> DataFrame:
+    """The files of a project with their numbers of types and members, and how many there are."""
+    rows = _in_project(index.files, project).select("path", "name", "lang", F.size("types").alias("types"), F.aggregate("types", F.lit(0), lambda a, t: a + F.size(t["members"])).alias("members"))
+    return top(rows.withColumn("total", rows.agg(F.count("*")).scalar()), most, ["path"])
+
+
 def suggest_queries(index: Index) -> dict[str, DataFrame]:
     """Where to look first: the largest projects, the files with most symbols, the kinds of types."""
     per_file = index.files.select("project", "path", F.size("types").alias("types"), F.aggregate("types", F.lit(0), lambda a, t: a + F.size(t["members"])).alias("members"))
@@ -323,14 +358,26 @@ def task_words(task: str) -> list[str]:
     return list(dict.fromkeys(w for w in words if len(w) >= 4 and w.lower() not in _STOP))
 
 
-def get_task_context(index: Index, task: str, most: int = 6) -> dict[str, DataFrame]:
-    """Types whose names hold words of the task, and the map around them."""
+def task_anchors(index: Index, task: str, most: int = 6) -> DataFrame:
+    """Types whose names hold words of a task: those that hold most of them, short names first."""
     words = [w.lower() for w in task_words(task)]
     score = sum((F.lower("name").contains(w).cast("int") for w in words), F.lit(0))
     anchors = first_of(index.types.withColumn("score", score).filter("score > 0"), [F.lower("name")], ["path", "start_line"])
-    anchors = top(anchors.select("name", "kind", "path", "start_line", "score"), most, [F.desc("score"), F.length("name"), "name"])
-    names = [r["name"] for r in anchors.collect()]
-    return {"anchors": anchors, "map": repo_map(index, names or None, 1500)}
+    return top(anchors.select("name", "kind", "path", "start_line", "score"), most, [F.desc("score"), F.length("name"), "name"])
+
+
+def get_task_context(index: Index, task: str, most: int = 6, dossiers: int = 2) -> dict[str, DataFrame]:
+    """What a task is about: types whose names hold its words, the dossiers of the first of them, and the
+    map around them. Where no name holds a word, the answer is of low confidence: the onboarding alone."""
+    anchors = task_anchors(index, task, most)
+    names = [r["name"] for r in anchors.collect()]  # `most` rows
+    if not names:
+        low = index.files.sparkSession.createDataFrame([("low confidence: no type is named like a word of the task",)], "note string")
+        return {"note": low} | get_onboarding(index)
+    out = {"anchors": anchors}
+    for name in names[:dossiers]:
+        out |= {f"{name}: {section}": rows for section, rows in explain_symbol(index, name).items()}
+    return out | {"map": repo_map(index, names, 1500)}
 
 
 def explain_symbol(index: Index, symbol: str, namespace: str | None = None, project: str | None = None) -> dict[str, DataFrame]:
@@ -338,8 +385,8 @@ def explain_symbol(index: Index, symbol: str, namespace: str | None = None, proj
     source, references and calls. Sections are lazy; render what a budget allows in this order."""
     if resolved_type(index, symbol, namespace, project).limit(1).count():
         return {
-            "type": resolved_type(index, symbol, namespace, project), "members": get_type_members(index, symbol, None, namespace, project), "derived": get_class_hierarchy(index, symbol),
-            "source": get_symbol_source(index, type_=symbol, namespace=namespace, project=project), "references": find_references(index, symbol, project), "facets": reference_facets(index, symbol, project),
+            "type": resolved_type(index, symbol, namespace, project), "members": get_type_members(index, symbol, None, namespace, project), "bases": get_base_types(index, symbol, namespace, project), "derived": get_class_hierarchy(index, symbol),
+            "registrations": registrations(index, symbol), "source": get_symbol_source(index, type_=symbol, namespace=namespace, project=project), "references": find_references(index, symbol, project), "facets": reference_facets(index, symbol, project),
         }
     return {
         "source": get_symbol_source(index, member=symbol, namespace=namespace, project=project), "references": find_references(index, symbol, project), "callers": callers(index, symbol, "both", project),
@@ -347,6 +394,13 @@ def explain_symbol(index: Index, symbol: str, namespace: str | None = None, proj
     }
 
 
+def registrations(index: Index, symbol: str) -> DataFrame:
+    """Wiring in which a type is the service or its implementation."""
+    wanted = F.lit(symbol)
+    named = same_name(simple_base_name(F.col("service")), wanted) | F.coalesce(same_name(simple_base_name(F.col("impl")), wanted), F.lit(False))
+    return index.registrations.filter(named).orderBy("path", "start_line")
+
+
 def prepare_change(index: Index, symbol: str, namespace: str | None = None, project: str | None = None) -> dict[str, DataFrame]:
     """What a change of a name touches: its definition, references, derived types and callers."""
     defined = search.matching_symbols(index.symbols, symbol, None, project).filter(F.col("name") == symbol)
@@ -366,11 +420,11 @@ def get_project_dependencies(index: Index, project: str, full: bool = False) ->
 
 
 def resolve_bare_name(index: Index, file: str, identifier: str) -> DataFrame:
-    """Types that a bare name in a file can mean: an alias alone, else those in scope (the file's
+    """C# types that a bare name in a file can mean: an alias alone, else those in scope (the file's
     namespace, those around it, and its usings), else those out of scope."""
     here = matching_file(index, file).select(F.coalesce("namespace", F.lit("")).alias("own"), "usings", F.try_element_at("aliases", F.lit(identifier)).alias("alias"))
     scope = here.select("own", "alias", F.array_distinct(F.concat(F.array(F.lit("")), ancestors(F.col("own")), "usings")).alias("scope"))
-    named = index.types.filter(F.col("name") == identifier).select(F.coalesce("namespace", F.lit("")).alias("namespace"), "name", "path").distinct()
+    named = index.types.filter((F.col("lang") == "cs") & (F.col("name") == identifier)).select(F.coalesce("namespace", F.lit("")).alias("namespace"), "name", "path").distinct()
     by_alias = scope.filter("alias IS NOT NULL").select(F.col("alias").alias("full_name"), F.lit(None).cast("string").alias("path"), F.lit("alias").alias("scope"))
     full = F.concat_ws(".", F.when(F.col("namespace") != "", F.col("namespace")), F.col("name"))
     met = named.join(F.broadcast(scope.filter("alias IS NULL")))  # one row, the file

@@ -18,8 +18,12 @@ _NO_CALL = {
     "if", "while", "for", "foreach", "switch", "catch", "using", "lock", "return", "typeof", "sizeof", "default", "checked", "unchecked", "fixed", "when", "new", "await", "throw", "in", "is",
     "as", "and", "or", "not", "case", "else", "do", "yield", "base", "this", "stackalloc", "out", "ref", "var",
 }
-_LIFETIMES = {f"{p}{x}": x for p in ("Add", "TryAdd") for x in ("Singleton", "Scoped", "Transient")}
-_MARKERS = [*(f"Add{x}" for x in ("Singleton", "Scoped", "Transient")), "TryAdd", "GetRequiredService", "GetService", "ServiceDescriptor", "Lazy<"]
+#: Registration methods and the lifetime that each gives, and texts that a file with wiring holds (fixed values).
+_LIFETIMES = {
+    "AddSingleton": "Singleton", "AddScoped": "Scoped", "AddTransient": "Transient",
+    "TryAddSingleton": "Singleton", "TryAddScoped": "Scoped", "TryAddTransient": "Transient",
+}
+_MARKERS = ["AddSingleton", "AddScoped", "AddTransient", "TryAdd", "GetRequiredService", "GetService", "ServiceDescriptor", "Lazy<"]
 
 
 class _File:

@@ -14,10 +14,35 @@ TS_SKIPPED = [*SKIPPED, "dist", ".next"]
 TS_EXTENSIONS = ["ts", "tsx", "mts", "cts"]
 
 
+#: Names of the files that an index can use; no other is read.
+WANTED = ["*.cs", "*.csproj", "*.sln", "*.slnx", "*.dbml", *(f"*.{x}" for x in TS_EXTENSIONS), "*.scss", "tsconfig.json", "package.json"]
+
+
+def folders(spark: SparkSession, root: str, also_skipped: tuple[str, ...] = ()) -> list[str]:
+    """The folders of a tree that hold files; skipped ones are never listed."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files, skipped = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), {*SKIPPED, *map(str.lower, also_skipped)}
+    out, stack = [], [at]
+    while stack:
+        here, holds = stack.pop(), False
+        for status in files.listStatus(here):
+            if not status.isDirectory():
+                holds = True
+            elif status.getPath().getName().lower() not in skipped and not status.isSymlink():
+                stack.append(status.getPath())
+        if holds:
+            out.append(here.toString())
+    return sorted(out)
+
+
 def scan(spark: SparkSession, root: str, also_skipped: tuple[str, ...] = ()) -> DataFrame:
-    """path (relative to root), name, dir, ext, mtime, content of all files outside skipped folders.
-    The content is read only where a query selects it."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    """path (relative to root), name, dir, ext, mtime, content of the files outside skipped folders that
+    an index can use. Skipped folders and other files are neither listed nor read; the content is read only
+    where a query selects it."""
+    any_case = "{" + ",".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in name) for name in WANTED) + "}"
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    held = folders(spark, root, also_skipped)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", any_case).load(held) if held else spark.createDataFrame([], schema)
     base = spark._jvm.org.apache.hadoop.fs.Path(root)
     base = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(base).toUri().getPath().rstrip("/")
     path = F.substring(F.regexp_replace("path", "^[a-z0-9]+:(//[^/]*)?", ""), len(base) + 2, 1 << 30)

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Extensions and folders that matter to either segment (fixed values).
+from ..sources.tree import SKIPPED, TS_SKIPPED
+
+#: Extensions and files that matter to either segment (fixed values).
 CS_EXTENSIONS = ["cs", "csproj", "sln", "slnx"]
 TS_EXTENSIONS = ["ts", "tsx", "mts", "cts", "scss"]
 PROJECT_FILES = ["tsconfig.json", "package.json"]
-SKIPPED = [".git", "bin", "obj", "node_modules", ".vs", ".sparkloom"]
-TS_SKIPPED = [*SKIPPED, "dist", ".next"]
 DEBOUNCE = "500 milliseconds"
 
 

@@ -230,3 +230,70 @@ def test_repo_map_focus_has_no_cap(spark, monkeypatch):
     monkeypatch.setattr(tools, "packed", lambda rows, *_: rows)
     scores = {r["doc"]: r["score"] for r in tools.repo_map(SimpleNamespace(files=files), ["Same"]).collect()}
     assert len(scores) == 1201 and scores["f1199.cs"] == pytest.approx(scores["f0000.cs"]) and scores["f1199.cs"] == pytest.approx(1 / 1200)
+
+
+def test_scan_never_touches_what_is_skipped(spark, tmp_path):
+    """A file that cannot be read, or is over the size limit, in a skipped folder or of no use to an index."""
+    root = tmp_path / "w"
+    for folder in ("src/a", "node_modules/x", ".git", "SRC/obj"):
+        (root / folder).mkdir(parents=True)
+    (root / "src/a/A.CS").write_text("class A {}")
+    (root / "src/a/package.json").write_text('{"name": "p"}')
+    for name in ("node_modules/x/big.ts", ".git/pack.cs", "SRC/obj/T.cs", "src/a/film.bin"):
+        (root / name).write_text("x" * 5000)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")
+    try:
+        got = {r["path"]: r["content"] for r in tree.scan(spark, str(root)).collect()}
+        assert set(got) == {"src/a/A.CS", "src/a/package.json"} and got["src/a/A.CS"] == "class A {}"
+        assert names(tree.ts_projects(tree.scan(spark, f"file://{root}"))) == ["p"]
+        assert tree.scan(spark, str(root / "node_modules/x"), ("x",)).filter("name = 'none'").count() == 0
+        (root / "empty").mkdir()
+        assert tree.scan(spark, str(root / "empty")).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
+def test_loose_projects_and_aliases(spark):
+    files = frame(spark, FILES | {"web/tsconfig.json": '{"compilerOptions": {"paths": {"@a/*": ["a/*"], "@b": ["b/x", "b/y"],}}} // end', "web/a/tsconfig.json": '{"compilerOptions": {"paths": {"@b": ["z"]}}}'})
+    assert set(names(tree.solution_projects(files))) == {"Core", "Core.Tests"}
+    assert set(names(tree.solution_projects(files, loose=True))) == {"Core", "Core.Tests", "Loose"}
+    assert {r["alias"]: r["targets"] for r in tree.path_aliases(files).collect()} == {"@a/*": ["a/*"], "@b": ["b/x", "b/y"]}
+
+
+def test_types_of_several_namespaces(spark):
+    files = {
+        "A.sln": 'Project("{X}") = "P", "p\\P.csproj", "{1}"\n', "p/P.csproj": "<Project></Project>", "p/a.cs": "namespace N.One;\nclass Foo : Base { void A() {}\n void A(int x) {} }\n",
+        "p/b.cs": "namespace N.Two;\nclass Foo { void B() { try { } finally { throw new X(); } } }\nclass Base { }\n", "w/package.json": '{"name": "w"}', "w/a.tsx": "// @ts-ignore\nexport class Foo { c(): void { const k = <div className={`a ${x}`} />; } }\n",
+    }
+    index = build(frame(spark, files))
+    got = [(r["name"], r["namespace"], r["ambiguous"]) for r in tools.get_type_members(index, "Foo", project="P").collect()]
+    assert got == [("A", "N.One", True), ("A", "N.One", True), ("B", "N.Two", True)]
+    assert [(r["name"], r["ambiguous"]) for r in tools.get_type_members(index, "Foo", namespace="two").collect()] == [("B", False)]
+    assert [(r["base"], r["path"]) for r in tools.get_base_types(index, "Foo", "One").collect()] == [("Base", "p/b.cs")]
+    bare = {(r["full_name"], r["scope"]) for r in tools.resolve_bare_name(index, "a.cs", "Foo").collect()}
+    assert bare == {("N.One.Foo", "in"), ("N.Two.Foo", "out")}  # no TypeScript type
+    overloads = tools.get_symbol_source(index, member="A", type_="Foo").collect()
+    assert {r["signature"] for r in overloads} == {"void A()", "void A(int x)"}
+    for pattern, path in (("throw-in-finally", "p/b.cs"), ("classname-interp", "w/a.tsx"), ("ts-ignore", "w/a.tsx")):
+        assert names(tools.search_structural(index, pattern), "path") == [path], pattern
+    with pytest.raises(ValueError):
+        tools.search_structural(index, "no-such")
+
+
+def test_trace_with_bodies_and_task_context(spark, index):
+    rows = tools.trace_calls(index, "Load", depth=2, include_bodies=True).collect()
+    assert [(r["name"], r["path"]) for r in rows] == [("Load", "src/Core/IStore.cs"), ("Helper", "src/Core/Store.cs"), ("Deep", "src/Core/Store.cs")]
+    assert rows[1]["source"].strip() == "void Helper() { Deep(); }"
+    assert names(tools.search_summary(index, "Store"), "files")[0] >= 4
+    context = tools.get_task_context(index, "please change the store loading")
+    assert "anchors" in context and "Store: members" in context and "map" in context
+    low = tools.get_task_context(index, "zzzz qqqq")
+    assert list(low)[0] == "note" and "info" in low and "anchors" not in low
+    assert names(tools.project_files(index, "web"), "name") == ["Widget.tsx", "Page.tsx", "c.scss"]
+
+
+def test_scss_grammar():
+    text = ".a,\n.b-é > .md\\:x:hover { $v : (k: \".no\"); @extend %q; width: .5em; /* .gone */ }\n@mixin  -m($x) { }\n@media (min: .3) { .z { a: url(//h/.n) } }\n[data-x=\".no\"] { }"
+    got = [(t["name"], t["kind"], t["start_line"]) for t in scss.parse(text)["types"]]
+    assert got == [("a", "ScssSelector", 1), ("b-é", "ScssSelector", 2), ("md:x", "ScssSelector", 2), ("v", "ScssVariable", 2), ("q", "ScssPlaceholder", 2), ("-m", "ScssMixin", 3), ("z", "ScssSelector", 4)]
+    assert scss.parse("")["types"] == [] and scss.parse(".a { .b { /* never shut")["types"][1]["name"] == "b" and scss.parse("$")["types"] == []

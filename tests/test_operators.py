@@ -82,14 +82,21 @@ def test_notes(spark):
     assert len(got) == 50 and got[0]["note"] == "a b" and len({r["note"] for r in got}) == 50
 
 
-def test_pagerank_local_equals_distributed(spark):
-    nodes = spark.createDataFrame([(x,) for x in "abcde"], "node string")
-    edges = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 2.0), ("c", "a", 1.0), ("a", "c", 3.0), ("d", "a", 1.0)], "src string, dst string, weight double")
+def test_pagerank(spark):
+    pairs = [("a", "b", 1.0), ("b", "c", 2.0), ("c", "a", 1.0), ("a", "c", 3.0), ("d", "a", 1.0)]
+    nodes, edges = spark.createDataFrame([(x,) for x in "abcde"], "node string"), spark.createDataFrame(pairs, "src string, dst string, weight double")
     for focus in (None, ["b"], ["zz"]):
-        local = {r["node"]: r["rank"] for r in graph.pagerank(nodes, edges, focus).collect()}
-        spread = {r["node"]: r["rank"] for r in graph.pagerank(nodes, edges, focus, local_edges=0).collect()}
-        assert local == pytest.approx(spread, abs=1e-5)
-        assert sum(local.values()) == pytest.approx(1)
+        hits = [x for x in focus or [] if x in "abcde"]
+        damping = 0.85 if focus is None else 0.5
+        weight = {(s, d): w * (4 if d in (focus or []) else 1) for s, d, w in pairs}
+        jump = {x: (x in hits) / len(hits) if hits else 0.2 for x in "abcde"}
+        rank = dict(jump)
+        for _ in range(200):
+            out = {x: sum(w for (s, _), w in weight.items() if s == x) for x in "abcde"}
+            loose = sum(r for x, r in rank.items() if not out[x])
+            rank = {x: (1 - damping + damping * loose) * jump[x] + damping * sum(rank[s] * w / out[s] for (s, d), w in weight.items() if d == x) for x in "abcde"}
+        got = {r["node"]: r["rank"] for r in graph.pagerank(nodes, edges, focus).collect()}
+        assert got == pytest.approx(rank, abs=1e-5) and sum(got.values()) == pytest.approx(1)
 
 
 def test_closure_ends_on_cycles(spark):
@@ -131,6 +138,14 @@ def test_stream_debounce(spark, tmp_path):
     assert got == {("cs", 2, False), ("cs", 1, False), ("ts", 1, True)}
 
 
+def test_branch_switch_and_overflow(spark):
+    t = datetime.datetime(2024, 1, 1)
+    schema = "ts_event timestamp, kind string, change string, path string, old_path string"
+    for kind, want in (("head", {("cs", False), ("ts", True)}), ("overflow", {("cs", False), ("ts", False)})):
+        rows = spark.createDataFrame([(t, kind, "changed", "x", None)], schema)
+        assert {(r["segment"], r["force_full"]) for r in changes.scheduled(rows).collect()} == want
+
+
 def test_stream_refresh(spark, tmp_path):
     t = datetime.datetime(2024, 1, 1)
     schema = "segment string, ts timestamp, force_full boolean"
