@@ -4,8 +4,9 @@ A text is split by the tokenizer's pattern; each piece is merged on its own. A p
 the leaves of a segment tree: a leaf holds the rank of the pair that starts at its live node, an
 inner node the leftmost smallest below it. The root names the next merge; a merge changes three
 leaves (the node, the neighbour it swallows, the live node before it) and their paths to the root.
-Pieces that a task has not met before are merged together, as rows of one array of trees; pieces
-met before come from a memo of bounded size.
+Pieces that a task has not met before are merged together, as rows of one array of trees; a few
+pieces of one width are merged one by one, each in a tree of plain numbers. Pieces met before come
+from a memo of bounded size.
 
 Nulls count as empty texts, which have no tokens; texts may be of any length; equal rows give
 equal results; an empty table gives an empty result; other columns are ignored.
@@ -33,6 +34,8 @@ MEMO = 400_000
 _NONE = np.int64(1) << 62
 #: Tree nodes that are merged at once.
 _NODES = 1 << 20
+#: Pieces below which a round of array calls costs more than a merge in each tree of plain numbers.
+_FEW = 12
 
 
 class ByteBPE:
@@ -49,6 +52,7 @@ class ByteBPE:
                 a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if a is not None and b is not None:
                     pairs[(a << 32) | b] = rank
+        self.pairs = pairs
         self.pair_keys = np.array(sorted(pairs), np.int64)
         self.pair_ranks = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int64)
         self.memo: dict[str, tuple[int, ...]] = {}
@@ -72,10 +76,50 @@ class ByteBPE:
             step = max(1, _NODES // width)
             for at in range(0, len(which), step):
                 part = which[at : at + step]
-                for i, ids in zip(part, self._trees([pieces[i] for i in part], width), strict=True):
+                chosen = [pieces[i] for i in part]
+                found = self._trees(chosen, width) if len(part) >= _FEW else (self._tree(p, width) for p in chosen)
+                for i, ids in zip(part, found, strict=True):
                     out[i] = ids
         return out
 
+    def _tree(self, piece: bytes, width: int) -> tuple[int, ...]:
+        """The ids of one piece; a path is climbed only as far as its minimum changes."""
+        n, none, ranks = len(piece), int(_NONE), self.pairs.get
+        token = self.byte_ids[np.frombuffer(piece, np.uint8)].tolist()
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        tree = [none] * (2 * width)
+        for i in range(n - 1):
+            if (rank := ranks((token[i] << 32) | token[i + 1])) is not None:
+                tree[width + i] = rank * width + i
+        for at in range(width - 1, 0, -1):
+            tree[at] = min(tree[2 * at], tree[2 * at + 1])
+
+        def put(place: int, rank: int | None) -> None:
+            at = width + place
+            value = none if rank is None else rank * width + place
+            while tree[at] != value:
+                tree[at] = value
+                if at == 1:
+                    break
+                other = tree[at ^ 1]
+                value = value if value < other else other
+                at >>= 1
+
+        while (best := tree[1]) < none:
+            rank, i = divmod(best, width)
+            j = after[i]
+            k = after[j]
+            token[i], token[j], after[i] = rank, None, k
+            put(j, None)
+            if k < n:
+                before[k] = i
+                put(i, ranks((rank << 32) | token[k]))
+            else:
+                put(i, None)
+            if (p := before[i]) >= 0:
+                put(p, ranks((token[p] << 32) | rank))
+        return tuple(t for t in token if t is not None)
+
     def _trees(self, pieces: list[bytes], width: int):
         n, size = len(pieces), np.array([len(p) for p in pieces])
         place = np.arange(width)
