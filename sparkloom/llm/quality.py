@@ -6,7 +6,9 @@ weighs the encoded passages, and the document's score comes from the weighted su
 attention and output are learned together from document labels alone.
 
 The model is fitted on a bounded sample of labelled rows: SAMPLE documents at most, those with the
-smallest hash of their id, and none that is held out. Scoring reads every passage of every text.
+smallest hash of their id, none that is held out and none of more than LONGEST passages (64,000
+words), so that the driver is sent a bounded number of passages. Scoring reads every passage of
+every text.
 
 Nulls count as empty texts; a text without words is one passage of zeros and is scored; very long
 texts are many passages; equal rows get equal scores; rows without an id are scored and never
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from .arrays import owners, slices, texts_of, words_of
 from .scratch import bounded_batches
 
-PASSAGE, SAMPLE, THRESHOLD = 64, 5000, 0.3
+PASSAGE, SAMPLE, LONGEST, THRESHOLD = 64, 5000, 1000, 0.3
 HIDDEN, GATE, EPOCHS = 16, 8, 250
 
 #: Disjoint classes of bytes whose shares in a passage are features; other bytes count as none.
@@ -158,16 +160,18 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> AttentionMIL | None:
-    """The model learned from at most `sample` labelled documents that aren't held out."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text", label: str = "quality", longest: int = LONGEST) -> AttentionMIL | None:
+    """The model learned from at most `sample` labelled documents that aren't held out; those of more
+    than `longest` passages are scored only."""
     named = labels.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{label}`").cast("double").alias("y")).dropna().filter(~held_out(F.col("doc_id")))
     chosen = named.groupBy("doc_id").agg(F.avg("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     chosen = {r["doc_id"]: r["y"] for r in chosen.collect()}
 
     def run(batches):
         for ids, x, bags in _bags(batches):
-            rows = [x[a:b].ravel() for a, b in zip(bags[:-1], bags[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(rows, pa.list_(pa.float32()))], ["doc_id", "x"])
+            short = np.diff(bags) <= longest
+            rows = [x[a:b].ravel() for a, b, ok in zip(bags[:-1], bags[1:], short, strict=True) if ok]
+            yield pa.RecordBatch.from_arrays([ids.filter(pa.array(short)), pa.array(rows, pa.list_(pa.float32()))], ["doc_id", "x"])
 
     if not chosen:
         return None
