@@ -47,13 +47,19 @@ def dossier(sections: dict[str, DataFrame], budget: int = BUDGET) -> str:
 
 
 class Digest:
-    """A text that is made once for each published version of a store."""
+    """A text that is made once for each published version of a store and kept beside it, so that
+    other sessions find it; it goes with the version."""
 
-    def __init__(self, store: Store):
-        self.store, self._kept = store, {}
+    def __init__(self, store: Store, name: str = "digest"):
+        self.store, self.name = store, name
 
     def text(self, make) -> str:
         version = (self.store.info() or {}).get("version")
-        if version not in self._kept:
-            self._kept = {version: make(self.store.current())}
-        return self._kept[version]
+        if version is None:
+            return make(None)
+        folder = f"{self.store.folder}/{version}/{self.name}"
+        if self.store.exists(f"{folder}/_SUCCESS"):
+            return self.store.spark.read.parquet(folder).first()["text"]
+        text = make(self.store.current())
+        self.store.spark.createDataFrame([(text,)], "text string").coalesce(1).write.mode("overwrite").parquet(folder)
+        return text

@@ -6,7 +6,7 @@ the other word as base, two members, a call, a catch clause, a use and an import
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import relative_path
@@ -40,13 +40,17 @@ def table_index(spark: SparkSession, sf_dir: str) -> Index:
         F.lit(None).cast("timestamp").alias("mtime"), F.concat_ws("\n", "p_name", "p_type", F.concat(F.lit("// "), "p_name")).alias("text"), "namespace", F.when(F.col("p_size") % 2 == 0, F.array(F.lit("SMALL"))).otherwise(F.array().cast("array<string>")).alias("usings"),
         alias.alias("aliases"), F.array(type_).alias("types"), F.array(event("call", 2, F.concat("base", F.lit("All")), yes(False)), event("catch", 1, text(None), F.col("p_size") % 2 == 0)).alias("events"),
         F.array().cast(_type(spark, "registrations")).alias("registrations"), F.array(F.struct(F.lit("Gone").alias("name"), F.lit("m").alias("module"), number(1).alias("line"))).alias("imports"),
-        F.array(F.struct(F.col("base").alias("name"), number(2).alias("line"))).alias("uses"),
+        F.array(F.struct(F.col("base").alias("name"), number(2).alias("line"))).alias("uses"), _counted(F.regexp_extract_all(F.concat_ws(" ", "p_name", "p_type"), F.lit(r"[\p{L}_][\p{L}\p{Nd}_]*"), 0)).alias("words"),
     )
     projects = part.select(F.col("p_brand").alias("name"), F.col("p_brand").alias("dir"), F.lit("cs").alias("segment")).distinct()
     references = part.select(F.col("p_brand").alias("src"), F.concat(F.lit("Brand#"), (F.col("p_size") % 25 + 1).cast("string")).alias("dst")).filter("src <> dst").distinct()
     return Index(files, projects, references)
 
 
+def _counted(words: Column) -> Column:
+    return F.map_from_entries(F.transform(F.array_distinct(words), lambda w: F.struct(w, F.size(F.filter(words, lambda x: x == w)))))
+
+
 def _type(spark, column: str) -> str:
     return spark.createDataFrame([], SCHEMA).schema[column].dataType.simpleString()
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.code import code_of, outside_code
+from ..functions.code import outside_code
 from ..functions.names import ancestors, folded, kind_filter, namespace_matches, same_name, simple_base_name
 from ..functions.text import age, estimated_tokens, is_generated, line_matches, lines, mentions
 from ..operators import graph, relations, search, text
@@ -293,9 +293,7 @@ def mention_graph(index: Index) -> tuple[DataFrame, DataFrame, DataFrame]:
     files = index.files.filter(~is_generated(F.col("name")))
     types = index.types.filter(~is_generated(F.col("file")))
     known = types.filter(F.rlike("name", F.lit(r"^\p{Lu}")) & (F.length("name") >= 3)).select("name", F.col("path").alias("doc")).distinct()
-    words = F.regexp_extract_all(code_of(F.col("line")), F.lit(r"[\p{L}_][\p{L}\p{Nd}_]*"), 0)
-    found = text.exploded_lines(files.select("path", "text")).select(F.col("path").alias("doc"), F.explode(words).alias("name")).join(known.select("name").distinct(), "name", "left_semi")
-    counts = graph.mention_counts(found)
+    counts = files.select(F.col("path").alias("doc"), F.explode("words").alias("name", "n")).join(known.select("name").distinct(), "name", "left_semi")  # counted when the file was parsed
     weights = graph.term_weights(counts, files.count())
     members = index.members.filter(~is_generated(F.col("file"))).select(F.col("path").alias("doc"), "name", "kind", "signature", "start_line", "project")
     shown = types.select(F.col("path").alias("doc"), "name", "kind", F.concat_ws(" ", "keyword", "name").alias("signature"), "start_line", "project")

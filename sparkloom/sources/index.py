@@ -12,6 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.code import code_words
 from ..functions.text import is_generated, is_test
 from ..operators.relations import copied_forward, delta, recent_notes, with_precedence
 from . import csharp, scss, tree, typescript
@@ -23,10 +24,12 @@ _WIRE = "struct<kind:string,service:string,impl:string,lifetime:string,start_lin
 _IMPORT, _USE = "struct<name:string,module:string,line:int>", "struct<name:string,line:int>"
 SCHEMA = (
     "path string, name string, project string, project_dir string, lang string, mtime timestamp, text string, namespace string, usings array<string>, aliases map<string,string>, "
-    f"types array<{_TYPE}>, events array<{_EVENT}>, registrations array<{_WIRE}>, imports array<{_IMPORT}>, uses array<{_USE}>"
+    f"types array<{_TYPE}>, events array<{_EVENT}>, registrations array<{_WIRE}>, imports array<{_IMPORT}>, uses array<{_USE}>, words map<string,int>"
 )
+#: The languages of each part of an index.
+SEGMENTS = {"cs": ["cs"], "ts": ["ts", "scss"]}
 _PARSERS = {"cs": csharp.parse, "ts": typescript.parse, "scss": scss.parse}
-VERSION = 1
+VERSION = 2
 
 
 def parsed(files: DataFrame) -> DataFrame:
@@ -47,6 +50,7 @@ def parsed(files: DataFrame) -> DataFrame:
                 except (IndexError, RecursionError):
                     got = {}
                 out = dict.fromkeys(fields) | row | {"text": text}
+                out["words"] = list(code_words(text).items())
                 out |= {"namespace": got.get("namespace"), "usings": got.get("usings", []), "aliases": list(got.get("aliases", {}).items()), "types": got.get("types", [])}
                 out |= {"events": got.get("events", []), "registrations": got.get("registrations", []), "imports": got.get("imports", []), "uses": [{"name": k, "line": v} for k, v in got.get("uses", {}).items()]}
                 rows.append(out)
@@ -105,16 +109,34 @@ def listed(files: DataFrame, loose: bool = False) -> tuple[DataFrame, DataFrame]
     return mine.unionByName(theirs), projects
 
 
-def build(files: DataFrame, loose: bool = False, before: Index | None = None) -> Index:
+def _states(before: DataFrame, wanted: DataFrame) -> DataFrame:
+    return delta(before.select("path", "mtime"), wanted.select("path", "mtime"), "path", "mtime")
+
+
+def build(files: DataFrame, loose: bool = False, before: Index | None = None, segment: str | None = None, full: bool = False) -> Index:
     """The index of a tree (`tree.scan`); with an earlier version only new and changed files are
-    parsed, the others are taken over."""
+    parsed, the others are taken over.
+
+    With a segment ('cs', or 'ts' with its style sheets) its files, projects and references are
+    brought up to date (all its files are parsed if `full`); those of the other one stay as they were.
+    """
     wanted, projects = listed(files, loose)
     references = tree.project_references(files)
     if before is None:
         return Index(parsed(wanted), projects, references)
-    states = delta(before.files.select("path", "mtime"), wanted.select("path", "mtime"), "path", "mtime")
-    fresh = parsed(wanted.join(states.filter("state IN ('added', 'changed')").select("path"), "path", "left_semi"))
-    return Index(copied_forward(before.files, states, "path", fresh), projects, references)
+    had, others = before.files, None
+    if segment:
+        wanted, had, others = wanted.filter(F.col("lang").isin(SEGMENTS[segment])), had.filter(F.col("lang").isin(SEGMENTS[segment])), had.filter(~F.col("lang").isin(SEGMENTS[segment]))
+        own, theirs = projects.filter(F.col("segment") == segment), before.projects.filter(F.col("segment") != segment)
+        projects = with_precedence(own, theirs, "name") if segment == "cs" else with_precedence(theirs, own, "name")
+        references = references if segment == "cs" else before.references
+    if full:
+        out = parsed(wanted)
+    else:
+        states = _states(had, wanted)
+        fresh = parsed(wanted.join(states.filter("state IN ('added', 'changed')").select("path"), "path", "left_semi"))
+        out = copied_forward(had, states, "path", fresh)
+    return Index(out if others is None else out.unionByName(others), projects, references)
 
 
 class Store:
@@ -144,9 +166,12 @@ class Store:
         self._fs.delete(self._path(f"{self.folder}/.next-{version}"), True)
         return version
 
+    def exists(self, path: str) -> bool:
+        return self._fs.exists(self._path(path))
+
     def info(self) -> dict | None:
         """The published version's entry; None if there is none or its schema is another."""
-        if not self._fs.exists(self._path(f"{self.folder}/CURRENT")):
+        if not self.exists(f"{self.folder}/CURRENT"):
             return None
         try:
             entry = json.loads(self.spark.read.text(f"{self.folder}/CURRENT", wholetext=True).first()[0])
@@ -161,14 +186,17 @@ class Store:
         at = f"{self.folder}/{entry['version']}"
         return Index(*(self.spark.read.parquet(f"{at}/{name}") for name in self.TABLES))
 
-    def refresh(self, files: DataFrame, full: bool = False, loose: bool = False) -> bool:
-        """Publishes the tree's state; False if nothing has changed."""
-        before = None if full else self.current()
-        if before is not None:
-            wanted, _ = listed(files, loose)
-            if not delta(before.files.select("path", "mtime"), wanted.select("path", "mtime"), "path", "mtime").filter("state <> 'same'").limit(1).count():
+    def refresh(self, files: DataFrame, full: bool = False, loose: bool = False, segment: str | None = None) -> bool:
+        """Publishes the tree's state; False if nothing has changed. With a segment only that one is
+        compared and read again; without an earlier version both are built."""
+        before = None if full and not segment else self.current()
+        if before is not None and not full:
+            (wanted, _), had = listed(files, loose), before.files
+            if segment:
+                wanted, had = (x.filter(F.col("lang").isin(SEGMENTS[segment])) for x in (wanted, had))
+            if not _states(had, wanted).filter("state <> 'same'").limit(1).count():
                 return False
-        self.publish(build(files, loose, before), "full" if before is None else "delta")
+        self.publish(build(files, loose, before, segment, full), "full" if before is None or full else "delta")
         return True
 
     def vacuum(self, older_than: float = 1800) -> list[str]:

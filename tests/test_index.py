@@ -135,6 +135,31 @@ def test_delta_equals_full(spark, tmp_path):
     assert store.vacuum(0) == [first] and store.current().files.count() > 0
 
 
+def test_one_segment(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/index")
+    assert store.refresh(frame(spark, FILES), segment="ts")  # nothing published yet: both
+    assert {r["lang"] for r in store.current().files.select("lang").collect()} == {"cs", "ts", "scss"}
+    new = FILES | {"src/Core/IStore.cs": "namespace Acme.Core;\npublic interface IStore2 { }\n", "web/a/Widget.tsx": "export class Gadget { }\n", "web/package.json": '{"name": "other"}'}
+    del new["web/c.scss"]
+    tree_now = lambda: frame(spark, new, changed=("src/Core/IStore.cs", "web/a/Widget.tsx"))
+    found = lambda: set(names(store.current().types))
+    assert store.refresh(tree_now(), segment="cs") and not store.refresh(tree_now(), segment="cs")
+    assert {"IStore2", "Widget", "gap"} <= found() and not {"IStore", "Gadget"} & found()
+    assert "web" in names(store.current().projects) and "other" not in names(store.current().projects)
+    assert store.refresh(tree_now(), segment="ts", full=True)
+    assert store.info()["kind"] == "full" and {"IStore2", "Gadget"} <= found() and not {"Widget", "gap"} & found()
+    assert "other" in names(store.current().projects) and store.current().references.count() == build(tree_now()).references.count()
+    both = build(tree_now())
+    assert set(names(both.types)) == found() and set(names(both.files, "path")) == set(names(store.current().files, "path"))
+
+
+def test_words_of_code():
+    from sparkloom.functions.code import code_words
+
+    assert code_words('Foo a = "Foo"; // Foo\r\nFoo(\'F\', $"{Foo} Bar");\nx1') == {"Foo": 3, "a": 1, "x1": 1}
+    assert code_words("") == {}
+
+
 def test_csharp_shapes():
     out = csharp.parse(
         "[A] public record struct P(int X, List<string> Y);\nstatic class S { static int a, b = 2; event E<int> Ev; string N { get; } = \"}\"; S(int q) : base(q) { }\n"
@@ -180,9 +205,11 @@ def test_render(spark, index, tmp_path):
     store, made = Store(spark, f"file://{tmp_path}/i"), []
     store.refresh(frame(spark, FILES))
     digest = render.Digest(store)
-    for _ in range(2):
-        digest.text(lambda i: made.append(1) or "x")
-    assert made == [1]
+    for each in (digest, digest, render.Digest(store)):
+        assert each.text(lambda i: made.append(1) or "x") == "x"
+    assert made == [1]  # kept beside the store, not in memory
+    store.refresh(frame(spark, FILES), full=True)
+    assert digest.text(lambda i: "y") == "y"
 
 
 def test_notes(spark, tmp_path):
@@ -273,7 +300,7 @@ def test_types_of_several_namespaces(spark):
     bare = {(r["full_name"], r["scope"]) for r in tools.resolve_bare_name(index, "a.cs", "Foo").collect()}
     assert bare == {("N.One.Foo", "in"), ("N.Two.Foo", "out")}  # no TypeScript type
     overloads = tools.get_symbol_source(index, member="A", type_="Foo").collect()
-    assert {r["signature"] for r in overloads} == {"void A()", "void A(int x)"}
+    assert {r["signature"] for r in overloads} == {"void A()", "void A(int)"}
     for pattern, path in (("throw-in-finally", "p/b.cs"), ("classname-interp", "w/a.tsx"), ("ts-ignore", "w/a.tsx")):
         assert names(tools.search_structural(index, pattern), "path") == [path], pattern
     with pytest.raises(ValueError):
