@@ -38,6 +38,8 @@ LENGTH, GRAM = 200, 100
 FINER, CLASSES = 4, 2
 #: Suffixes that a batch of a shard holds at least; chunks are added together until then.
 BATCH = 1 << 15
+#: Neighbours that a merge scan compares at once.
+_STRETCH = 1 << 14
 
 
 class Level:
@@ -59,10 +61,15 @@ def _cut(text: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
 
 def merge_scan(old: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Two sorted arrays in one pass (a stable sort of two runs merges them): their common order, and
-    the places in `old` and `new` of neighbours that are equal. Each array holds a key once."""
+    the places in `old` and `new` of neighbours that are equal. Each array holds a key once.
+    Neighbours are compared a stretch at a time, since a key takes as many bytes as a match is long."""
     both = np.concatenate([old, new])
     order = np.argsort(both, kind="stable")
-    met = np.flatnonzero(both[order[1:]] == both[order[:-1]])
+    met = [np.zeros(0, np.int64)]
+    for i in range(0, len(order) - 1, _STRETCH):
+        part = both[order[i : i + _STRETCH + 1]]
+        met.append(np.flatnonzero(part[1:] == part[:-1]) + i)
+    met = np.concatenate(met)
     return order, order[met], order[met + 1] - len(old)
 
 
