@@ -1,11 +1,14 @@
 """The registered analogues against brute force on small tables."""
 
 import math
+import random
 import re
 from collections import Counter
 
+import duckdb
 import pytest
 
+from sparkloom.operators import graph
 from sparkloom.plans import analogues
 
 
@@ -25,6 +28,50 @@ def test_edge_weights_keep_frequent_names(spark, tmp_path):
     assert df["Widget"] == 40 and got == pytest.approx(dict(want), abs=1e-6)
 
 
+def _mention_rows(n=500, names=40):
+    """Documents that begin a line with some names and mention others; one word is everywhere, one id twice."""
+    rng = random.Random(4)
+    known = [f"N{chr(97 + i // 26)}{chr(97 + i % 26)}x" for i in range(names)]
+    some = lambda k: [known[int(names * rng.random() ** 2)] for _ in range(k)]
+    texts = ["\n".join([*(f"{w} begins" for w in some(rng.randint(0, 2))), "The " + " ".join(some(rng.randint(0, 3))) + " camelNaax Naaxes"]) for _ in range(n)]
+    return [(i if i else 1, "s", t if i % 50 else None, "en") for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("sources, targets", [(1 << 15, 1 << 20), (60, 25)])
+def test_edge_weights_in_cells_equal_sql(spark, tmp_path, monkeypatch, sources, targets):
+    monkeypatch.setattr(graph, "SOURCES", sources, raising=False)
+    monkeypatch.setattr(graph, "TARGETS", targets, raising=False)
+    monkeypatch.setattr(graph, "_ROWS", 100, raising=False)
+    spark.createDataFrame(_mention_rows(), "doc_id long, source string, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = {(r["src"], r["dst"]): r["weight"] for r in analogues.edge_weights(spark, str(tmp_path)).collect()}
+    want = {r[:2]: r[2] for r in con.execute(analogues.EDGE_WEIGHTS_SQL).fetchall()}
+    assert len(want) > 1000 and got == pytest.approx(want, abs=1e-6)
+
+
+def test_edges_do_not_travel(spark, tmp_path):
+    """What is shuffled grows with mentions and definitions, not with the edges that they make."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    shuffled = lambda: {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in _stages(spark, store)}
+    names = [f"N{chr(97 + i)}x" for i in range(8)]
+    counts = spark.createDataFrame([(f"s{i}", name, 1 + i % 3) for i in range(150) for name in names], "doc string, name string, n long")
+    definitions = spark.createDataFrame([(name, f"{'sd'[i % 2]}{i}") for i in range(150) for name in names], "name string, doc string")
+    weights = spark.createDataFrame([(name, 1.5) for name in names], "name string, idf double")
+    before = shuffled()
+    edges = graph.mention_edges(counts, definitions, weights).collect()
+    assert len(edges) == 150 * 150 - 75 and {(r["src"], r["dst"]) for r in edges} >= {("s0", "s2"), ("s1", "d1")}
+    assert all(r["weight"] == pytest.approx(8 * math.sqrt(1 + int(r["src"][1:]) % 3) * 1.5 / 150) for r in edges)
+    assert sum(n for k, n in shuffled().items() if k not in before) < len(edges) / 2
+
+
+def _stages(spark, store):
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    jvm = spark.sparkContext._jvm
+    found = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return [found.apply(i) for i in range(found.size())]
+
+
 def test_scope_resolution_of_every_file(spark, tmp_path):
     parts = [(i, ("A.B", "A.B.C", "X")[i % 3], i % 7) for i in range(1, 121)]
     spark.createDataFrame(parts, "p_partkey long, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
