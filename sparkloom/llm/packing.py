@@ -5,10 +5,10 @@ ends of `buckets` buckets so that the padding, the sum over documents of (upper
 as small as it can be. Inside a bucket, documents in the order of (length, doc_id) fill batches of
 budget // upper documents, so that a padded batch holds at most `budget` tokens.
 
-The histogram's bins are single lengths, so the bounds are optimal. Only where more than `exact`
-lengths differ are they single lengths up to 1024 and 1/1024 of an octave beyond, so that the driver
-sees some 1024 bins an octave; a bin then stands for the greatest length in it. A document longer than
-the budget is a batch of its own; none is cut.
+The histogram's bins are single lengths whatever their number, so the bounds are optimal. The driver
+holds them as two arrays: n different lengths take n (n - 1) / 2 words at least, so that the lengths of
+a corpus of 10^13 words are 4.5 million at most (72 MB). `exact` is how many splits the search compares
+at once; bounds do not depend on it. A document longer than the budget is a batch of its own; none is cut.
 
 A text's length is its number of words `[^\\x20\\x09-\\x0D]+`. Nulls count as empty texts, of
 length 0, and are packed like others; equal rows are packed each; ties go by doc_id (null first);
@@ -17,6 +17,8 @@ an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,11 +29,12 @@ BUCKETS, BUDGET, EXACT = 16, 65_536, 100_000
 _EXACT_BITS = 10
 
 
-def optimal_bounds(lengths: list[int], counts: list[int], buckets: int) -> list[int]:
+def optimal_bounds(lengths: Sequence[int], counts: Sequence[int], buckets: int, exact: int = EXACT) -> list[int]:
     """Upper ends of at most `buckets` buckets over a histogram, of least total padding.
 
     The cost of a bucket is Monge, so each layer's best split points are monotone and a layer
-    takes O(n log n) by divide and conquer. Of equal costs the smaller split point wins.
+    takes O(n log n) by divide and conquer, all parts of a depth together, some `exact` splits
+    (or one part) at once. Of equal costs the smaller split point wins.
     """
     order = np.argsort(lengths)
     length, count = np.asarray(lengths, np.int64)[order], np.asarray(counts, np.int64)[order]
@@ -45,17 +48,22 @@ def optimal_bounds(lengths: list[int], counts: list[int], buckets: int) -> list[
     splits = []
     for _ in range(1, min(buckets, n)):
         new, split = cost.copy(), np.zeros(n + 1, np.int64)
-        stack = [(1, n, 0, n - 1)]
-        while stack:
-            low, high, first, last = stack.pop()
-            if low > high:
-                continue
+        low, high, first, last = (np.array([x]) for x in (1, n, 0, n - 1))
+        while len(low):
             j = (low + high) // 2
-            i = np.arange(first, min(last, j - 1) + 1)
-            total = cost[i] + pad(i, j)
-            k = int(total.argmin())
-            new[j], split[j] = total[k], i[k]
-            stack += [(low, j - 1, first, int(i[k])), (j + 1, high, int(i[k]), last)]
+            many = np.minimum(last, j - 1) - first + 1
+            ends, a = np.cumsum(many), 0
+            while a < len(j):
+                b = max(a + 1, int(np.searchsorted(ends, ends[a] - many[a] + exact, "right")))
+                own, start = many[a:b], ends[a:b] - many[a:b] - (ends[a] - many[a])
+                i = np.arange(own.sum()) + np.repeat(first[a:b] - start, own)
+                total = cost[i] + pad(i, np.repeat(j[a:b], own))
+                least = np.minimum.reduceat(total, start)
+                best = np.flatnonzero(total == np.repeat(least, own))
+                new[j[a:b]], split[j[a:b]] = least, i[best[np.searchsorted(best, start)]]
+                a = b
+            low, high, first, last = (np.stack(x, 1).ravel() for x in ((low, j + 1), (j - 1, high), (first, split[j]), (split[j], last)))
+            low, high, first, last = (x[low <= high] for x in (low, high, first, last))
         cost = new
         splits.append(split)
     bounds, j = [], n
@@ -90,11 +98,8 @@ def pack(sized: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, exact:
 def _packed(work: Workspace, sized: DataFrame, buckets: int, budget: int, exact: int) -> DataFrame:
     spark = sized.sparkSession
     sized = work.written(sized.select("doc_id", "n_tokens"), "lengths")
-    lengths = sized.groupBy("n_tokens").count()
-    histogram = lengths.limit(exact + 1).collect()
-    if len(histogram) > exact:
-        histogram = lengths.groupBy(_bin(F.col("n_tokens")).alias("bin")).agg(F.max("n_tokens").alias("n_tokens"), F.sum("count").alias("count")).collect()
-    bounds = optimal_bounds([r["n_tokens"] for r in histogram], [r["count"] for r in histogram], buckets)
+    lengths = sized.groupBy("n_tokens").count().toArrow()
+    bounds = optimal_bounds(lengths["n_tokens"].to_numpy(), lengths["count"].to_numpy(), buckets, exact)
     bucket = sum((F.when(F.col("n_tokens") > b, 1).otherwise(0) for b in bounds[:-1]), F.lit(0))
     # a place in the bucket without gathering it: rows in order, and where each partition's begin
     keys = ["bucket", "n_tokens", "doc_id"]

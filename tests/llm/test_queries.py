@@ -32,6 +32,19 @@ def test_packing_equals_its_sql(spark, tmp_path):
     assert con.execute(packing.OP2_SQL.replace("FROM documents", "FROM nothing")).fetchall() == []
 
 
+def test_packing_is_optimal_for_any_number_of_lengths(spark, tmp_path):
+    """Lengths of one octave, that bins would not tell apart, against the SQL; `exact` changes no result."""
+    rng = random.Random(5)
+    lengths = [rng.randint(5000, 5060) for _ in range(60)] + [2050, 2051, 2052, 0]
+    frame(spark, ["w " * n for n in lengths]).write.parquet(f"{tmp_path}/documents.parquet")
+    sized = spark.createDataFrame(list(enumerate(lengths)), "doc_id long, n_tokens long")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = collections.Counter(con.execute(packing.op2_sql(5, 20_000)).fetchall())
+    for exact in (1, 4, 1000):
+        assert collections.Counter(map(tuple, packing.pack(sized, 5, 20_000, exact).collect())) == want
+
+
 def test_byte_bpe_query(spark, tmp_path):
     import public_tokenizers
     import tiktoken
