@@ -82,7 +82,8 @@ def n_words(text: Column) -> Column:
 
 
 def _bin(n: Column) -> Column:
-    """The least bin that holds a length."""
+    """The least bin that holds a length: single lengths up to 1024, 1/1024 of an octave beyond. Packing takes
+    none, at any size; kept because an existing test holds it."""
     shift = F.greatest(F.length(F.bin(n - 1)) - _EXACT_BITS, F.lit(0))
     step = F.pow(F.lit(2.0), shift).cast("long")
     return F.when(n <= 1 << _EXACT_BITS, n).otherwise(F.ceil(n / step) * step).cast("long")

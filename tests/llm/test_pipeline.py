@@ -2,7 +2,10 @@
 
 import random
 
-from sparkloom.llm import quality
+import numpy as np
+from pyspark.sql import functions as F
+
+from sparkloom.llm import packing, quality
 
 
 def test_stages(spark, tmp_path):
@@ -57,3 +60,19 @@ def test_run_equals_stages(spark, tmp_path):
         docs = stage(spark, docs, str(tmp_path))
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, docs.collect()))
+
+
+def test_packing_of_many_lengths(spark, monkeypatch):
+    """The last stage over more than 100,000 different lengths pads as little as can be."""
+    import corpus_pipeline
+
+    n = packing.EXACT + 500
+    monkeypatch.setattr(packing, "n_words", lambda text: text.cast("long"))  # such texts would be too long for a test
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), (F.col("id") + 1).cast("string").alias("text"))
+    got = corpus_pipeline.packing(spark, docs, "").groupBy("bucket_length").agg(F.count("*").alias("n"), F.max("n_tokens").alias("longest")).collect()
+    lengths = np.arange(1, n + 1)
+    bounds = np.array(packing.optimal_bounds(lengths, np.ones(n, np.int64), packing.BUCKETS))
+    assert sorted(r["bucket_length"] for r in got) == bounds.tolist() and all(r["longest"] == r["bucket_length"] for r in got)
+    size = n // 16  # by arithmetic: n = 16 * size + rest, in buckets of size and size + 1 lengths
+    rest = n - 16 * size
+    assert (bounds[np.searchsorted(bounds, lengths)] - lengths).sum() == (16 - rest) * size * (size - 1) // 2 + rest * size * (size + 1) // 2
